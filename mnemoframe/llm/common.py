@@ -6,8 +6,13 @@ The kernels work on the UTF-8 bytes of many texts at once. Words are runs of byt
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,24 @@ _BYTE_KEY = np.random.Generator(np.random.PCG64(20240131)).integers(1, 2**63, 25
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the workers, once for each application, so they need no path of the driver's machine."""
+    if spark.sparkContext.applicationId not in _SHIPPED:
+        _SHIPPED.add(spark.sparkContext.applicationId)
+        top = Path(__file__).resolve().parents[2]
+        folder = tempfile.mkdtemp()  # the driver serves the file from here as long as it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/mnemoframe_workers.zip", "w") as out:
+            for file in sorted(top.glob("mnemoframe/**/*.py")):
+                out.write(file, file.relative_to(top))
+        spark.sparkContext.addPyFile(out.filename)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
