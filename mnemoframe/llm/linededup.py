@@ -142,27 +142,52 @@ def removed_lines(docs: DataFrame, min_block_words: int = 20, rare_documents: in
     return found.select("key", F.explode("removed").alias("line")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_block_words: int = 20, rare_documents: int = 50) -> DataFrame:
-    """``docs`` with the shortened text, and n_lines, n_removed (lines) and removed_words after its own columns."""
+STATS = ("n_lines", "n_removed", "removed_words")
+
+
+def _cut(docs: DataFrame, min_block_words: int, rare_documents: int, stats: bool, drop_emptied: bool) -> DataFrame:
     removed = removed_lines(docs, min_block_words, rare_documents)
-    wide = docs.select("*", F.xxhash64("text").alias("_version")).join(removed.select(F.col("key.doc_id").alias("_id"), F.col("key.version").alias("_v"), F.col("removed").alias("_removed")), (F.col("doc_id") == F.col("_id")) & (F.col("_version") == F.col("_v")), "left")
-    names, at = docs.columns, docs.columns.index("text")
-    schema = docs.select(*[F.col(c) for c in names], F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("removed_words")).schema
+    names = [c for c in docs.columns if not stats or c not in STATS]
+    text_at, size_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of docs meets one of this join
+    wide = rows.join(removed, (F.col("row.doc_id") == F.col("key.doc_id")) & (F.xxhash64("row.text") == F.col("key.version")), "left")
+    own = [F.col("row")[c].alias(c) for c in names]
+    schema = docs.select(*names, *[F.lit(0).cast("long").alias(c) for c in STATS if stats]).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, stats = [], []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                lines = [] if text is None else text.split("\n")
-                if gone:
-                    drop = set(gone)
-                    words = sum(len(lines[k].encode().split()) for k in drop)
-                    text = "\n".join(x for k, x in enumerate(lines) if k not in drop)
-                stats.append((len(lines), len(gone or ()), words if gone else 0))
-                texts.append(text)
-            cols = list(zip(*stats)) or [[]] * 3
             columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*names, "n_lines", "n_removed", "removed_words"])
+            texts = columns[text_at].to_pylist()
+            keep = np.ones(len(batch), bool)
+            measured = [[t.count("\n") + 1 if t is not None else 0 for t in texts], [0] * len(texts), [0] * len(texts)]
+            sizes = columns[size_at].to_pylist() if size_at >= 0 else None
+            for k, gone in enumerate(batch.column(len(names)).to_pylist()):
+                if not gone:
+                    continue
+                lines, drop = texts[k].split("\n"), set(gone)
+                measured[1][k], measured[2][k] = len(drop), sum(len(lines[j].encode().split()) for j in drop)
+                texts[k] = "\n".join(x for j, x in enumerate(lines) if j not in drop)
+                keep[k] = not drop_emptied or bool(texts[k].encode().split())
+                if sizes:
+                    sizes[k] = len(texts[k])
+            columns[text_at] = pa.array(texts, pa.string())
+            if sizes:
+                columns[size_at] = pa.array(sizes, columns[size_at].type)
+            if stats:
+                columns += [pa.array(x, pa.int64()) for x in measured]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep))
+
+    return wide.select(*own, "removed").mapInArrow(cut, schema)
+
+
+def dedup_lines(docs: DataFrame, min_block_words: int = 20, rare_documents: int = 50) -> DataFrame:
+    """``docs`` with the shortened text (n_chars, if there, follows it), then n_lines, n_removed (lines) and removed_words.
+
+    Columns of docs with those three names are replaced.
+    """
+    return _cut(docs, min_block_words, rare_documents, stats=True, drop_emptied=False)
+
 
-    return wide.select(*names, "_removed").mapInArrow(cut, schema)
+def without_repeated_blocks(docs: DataFrame, min_block_words: int = 20, rare_documents: int = 50) -> DataFrame:
+    """``docs`` with the shortened text and n_chars, all columns kept; documents that lose their last word go."""
+    return _cut(docs, min_block_words, rare_documents, stats=False, drop_emptied=True)
