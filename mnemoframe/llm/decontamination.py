@@ -96,6 +96,30 @@ def build_index(items: list[tuple[int, str]], q: int, edit_percent: int) -> Inde
     return Index(q, ids, texts, budget, size - q + 1 - budget * q, distinct, np.append(first, len(gram)), np.concatenate(item or none)[order], np.concatenate(place or none)[order], maybe, short)
 
 
+def within_budget(item: np.ndarray, window: np.ndarray, budget: int) -> bool:
+    """Whether the whole item has a place in the window with at most ``budget`` edits: the band without its origins, left early."""
+    m, n = len(item), len(window)
+    band = n - m + 2 * budget + 1
+    if band <= 0:
+        return False
+    big = m + n
+    padded = np.full(n + 2 * (m + budget) + 2, 0xFFFFFFFF, np.uint32)
+    padded[budget + 1 : budget + 1 + n] = window  # column c is at c + budget
+    now = np.full(band + 1, big)  # one more, for what lies right of the band
+    now[budget : budget + n + 1] = 0
+    now[band] = big
+    ramp = np.arange(band)
+    for i in range(1, m + 1):
+        best = np.minimum(now[:-1] + (padded[i : i + band] != item[i - 1]), now[1:] + 1)
+        if i < budget:
+            best[: budget - i] = big
+        best[n - i + budget + 1 :] = big
+        now[:-1] = np.minimum.accumulate(best - ramp) + ramp
+        if not i & 7 and now.min() > budget:
+            return False
+    return bool(now.min() <= budget)
+
+
 def banded_distance(item: np.ndarray, window: np.ndarray, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of the whole item in the window if it needs at most ``budget`` edits.
 
@@ -162,7 +186,9 @@ def matches(texts: list[str], index: Index) -> Iterator[tuple[int, int, int, int
             hi = lo + 2 * (budget + 1) + len(passage) + budget
             lo, hi = max(0, lo - budget), min(len(text), hi)
             exact = text.find(passage, lo, hi)
-            hit = (0, exact, exact + len(passage)) if exact >= 0 else banded_distance(codes(passage), codes(text[lo:hi]), budget)
+            hit = (0, exact, exact + len(passage)) if exact >= 0 else None
+            if exact < 0 and within_budget(codes(passage), codes(text[lo:hi]), budget):
+                hit = banded_distance(codes(passage), codes(text[lo:hi]), budget)
             if hit and exact < 0:
                 hit = (hit[0], hit[1] + lo, hit[2] + lo)
             if hit and ((r, k) not in found or hit[0] < found[r, k][2]):
