@@ -125,10 +125,9 @@ def removed_lines(docs: DataFrame, min_block_words: int = 20, rare_documents: in
     lines = stored(rows.mapInArrow(hashed, f"key {key}, hashes array<long>, words array<int>").groupBy("key").agg(F.any_value("hashes").alias("hashes"), F.any_value("words").alias("words")), "lines")
     held = lines.select("key", F.explode(F.array_distinct("hashes")).alias("hash")).where(F.col("hash") != BLANK)
     first = held.groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = held.join(first, "hash")
-    common = shared.where(F.col("key") > F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b"))
+    common = held.join(first, "hash").where(F.col("key") > F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b"))
     before = Window.partitionBy("hash").orderBy("key")
-    rare = shared.where(F.col("n") <= rare_documents).withColumn("a", F.lag("key").over(before)).where("a is not null").select("a", F.col("key").alias("b"))
+    rare = held.join(first.where(F.col("n") <= rare_documents), "hash").withColumn("a", F.lag("key").over(before)).where("a is not null").select("a", F.col("key").alias("b"))
     pairs = common.unionAll(rare).distinct()
     sides = pairs.join(lines.select(F.col("key").alias("b"), F.col("hashes").alias("hashes_b"), "words"), "b").join(lines.select(F.col("key").alias("a"), F.col("hashes").alias("hashes_a")), "a")
 
