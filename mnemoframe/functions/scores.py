@@ -75,3 +75,28 @@ def temporal_gravity(age: Column) -> Column:
 
 def bcm_threshold(activity: Column, base: float = 0.1) -> Column:
     return F.greatest(F.lit(0.05), F.least(F.lit(0.3), base + 0.5 * (activity - 0.3)))
+
+
+def fsrs_update(stability: Column, difficulty: Column, rating: Column, elapsed: Column) -> tuple[Column, Column]:
+    """New stability and difficulty after a review rated 1 (forgot) to 4 (easy)."""
+    # fixed values: weights 8 to 11 of the scheduler
+    w8, w9, w10, w11 = 1.49, 0.14, 0.94, 2.18
+    good, r = rating >= 3, fsrs_retrievability(elapsed, stability)
+    grown = stability * (1 + F.exp(F.lit(w8)) * (11 - difficulty * 10) * F.pow(stability, F.lit(-w9)) * (F.exp((1 - r) * w10) - 1))
+    shrunk = stability * F.pow(F.lit(w11), difficulty * 10 - 1)
+    step = F.when(good, -0.02 * (rating - 2)).otherwise(0.1 * (2 - rating))
+    return F.greatest(F.lit(0.1), F.when(good, grown).otherwise(shrunk)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), difficulty + step))
+
+
+def emotion_resonance(emotion: Column, intensity: Column, mood_then: Column, energy_then: Column, mood: float, alertness: float) -> Column:
+    """Half, gated by the distance between the states at writing and now, more for a matching mood and strong emotion; no gate without a mood at writing."""
+    far = F.sqrt(F.pow(mood - mood_then, F.lit(2)) + F.pow(alertness - F.coalesce(F.nullif(energy_then, F.lit(0.0)), F.lit(0.5)), F.lit(2)))
+    gate = F.when(mood_then.isNull(), 1.0).otherwise(F.greatest(F.lit(0.2), 1 / (1 + F.exp(far * 3 - 1.5))))
+    match = F.when((F.lit(mood) > 0.3) & (emotion == "warm") | (F.lit(mood) < -0.3) & (emotion == "painful"), 1.4).otherwise(1.0)
+    return F.least(F.lit(1.0), 0.5 * gate * match * (1 + 0.5 * F.coalesce(intensity, F.lit(0.0))))
+
+
+def range_closeness(t: Column, start: Column, end: Column) -> Column:
+    """1 within the range, falling to 0 over its own length outside; an empty range counts as a day."""
+    span = F.when(end == start, 86400.0).otherwise(end - start)
+    return F.when(t.between(start, end), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.least(F.abs(t - start), F.abs(t - end)) / span))
