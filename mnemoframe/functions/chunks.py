@@ -59,22 +59,28 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), F.lower)
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dense_sentences(text: Column, ratio: float = 0.4) -> Column:
     """The densest sentences up to ``ratio`` of the length, in their order; texts of two sentences or fewer stay."""
     sentences = F.filter(F.split(F.regexp_replace(text, r"([。！？!?.\n])\s*", "$1" + MARK), MARK), lambda s: F.length(trimmed(s)) > 3)
-    last = F.size(sentences) - 1
 
-    def scored(s: Column, i: Column) -> Column:
-        w = words(s)
-        unique = F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0))
+    def density(s: Column, edge: Column) -> Column:
+        unique = bound(words(s), lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0)))
         entities = 1 + F.least(F.regexp_count(s, F.lit(ENTITY)) * 0.2, F.lit(0.8))
-        density = unique * entities * F.when((i == 0) | (i == last), 1.2).otherwise(1.0) * F.when(F.length(s) < 10, 0.5).otherwise(1.0)
-        return F.struct((-density).alias("rank"), i.alias("i"), s.alias("s"))
+        return unique * entities * F.when(edge, 1.2).otherwise(1.0) * F.when(F.length(s) < 10, 0.5).otherwise(1.0)
+
+    def scored(found: Column) -> Column:
+        return F.transform(found, lambda s, i: F.struct((-density(s, (i == 0) | (i == F.size(found) - 1))).alias("rank"), i.alias("i"), s.alias("s")))
 
     def take(acc: Column, x: Column) -> Column:
-        room = acc["used"] < F.ceil(F.length(text) * F.lit(ratio))
-        return F.struct(F.when(room, F.concat(acc["kept"], F.array(F.struct(x["i"].alias("i"), x["s"].alias("s"))))).otherwise(acc["kept"]).alias("kept"), F.when(room, acc["used"] + F.length(x["s"])).otherwise(acc["used"]).alias("used"))
+        room = acc["used"] < acc["goal"]
+        kept = F.when(room, F.concat(acc["kept"], F.array(F.struct(x["i"].alias("i"), x["s"].alias("s"))))).otherwise(acc["kept"])
+        return F.struct(kept.alias("kept"), F.when(room, acc["used"] + F.length(x["s"])).otherwise(acc["used"]).alias("used"), acc["goal"].alias("goal"))
 
-    start = F.struct(F.array().cast("array<struct<i:int,s:string>>").alias("kept"), F.lit(0).alias("used"))
-    chosen = F.aggregate(F.sort_array(F.transform(sentences, scored)), start, take, lambda acc: F.array_join(F.transform(F.sort_array(acc["kept"]), lambda x: x["s"]), " "))
-    return F.when(F.size(sentences) <= 2, text).otherwise(chosen)
+    start = F.struct(F.array().cast("array<struct<i:int,s:string>>").alias("kept"), F.lit(0).alias("used"), F.ceil(F.length(text) * F.lit(ratio)).alias("goal"))
+    in_order = lambda acc: F.array_join(F.transform(F.sort_array(acc["kept"]), lambda x: x["s"]), " ")
+    return bound(sentences, lambda found: F.when(F.size(found) <= 2, text).otherwise(F.aggregate(F.sort_array(scored(found)), start, take, in_order)))
