@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import chunks
+from mnemoframe.functions import text as T
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -108,3 +109,31 @@ def relationship(events: Column) -> Column:
         return F.struct(trust.alias("trust"), known.alias("familiarity"))
 
     return F.aggregate(events, F.struct(F.lit(0.5).alias("trust"), F.lit(0.0).alias("familiarity")), step)
+
+
+# Words of agreement, of dissent and of a shrug.
+AGREEMENT = "谢|感谢|棒|好的|对|没错|exactly|thanks|great|yes|right|correct"
+DISSENT = "不对|错了|不是|wrong|no|incorrect"
+SHRUG = "嗯|哦|ok|mm|hm"
+
+
+def engagement(reply: Column, response: Column) -> Column:
+    """How engaged a reply to a response is, 0 to 1; an empty reply gives 0."""
+    ratio = F.length(reply) / F.greatest(F.lit(1), F.length(response))
+    score = 0.5 + F.when(ratio > 1, 0.25).when(ratio > 0.5, 0.15).otherwise(0.0) + F.when(reply.rlike("[？?]"), 0.1).otherwise(0.0)
+    score = score + F.when(reply.rlike(f"(?i){AGREEMENT}"), 0.15).otherwise(0.0) - F.when(reply.rlike(f"(?i){DISSENT}"), 0.2).otherwise(0.0)
+    return F.when(reply == "", 0.0).otherwise(clamp(score - F.when((F.length(reply) < 5) & reply.rlike(f"(?i){SHRUG}"), 0.15).otherwise(0.0), 0.0, 1.0))
+
+
+def affinity(memory: Column, response: Column) -> Column:
+    """How much of a memory a response took up: trigrams, tokens, and runs of two to four CJK characters."""
+    m, r = F.lower(memory), F.lower(response)
+    kept = lambda t: F.filter(T.tokens(t), lambda w: F.length(w) >= 2)
+    shared = chunks.bound(kept(m), lambda w: F.when(F.size(w) > 0, F.size(F.array_intersect(w, kept(r))) / F.size(w)).otherwise(F.lit(0.0)))
+    names = F.regexp_extract_all(m, F.lit("([一-鿿]{2,4})"), F.lit(1))
+    named = F.when(F.size(names) > 0, F.size(F.filter(names, lambda n: F.contains(r, n))) / F.size(names)).otherwise(F.lit(0.0))
+    return 0.3 * T.jaccard(T.trigrams(m), T.trigrams(r)) + 0.4 * shared + 0.3 * named
+
+
+def affinity_signal(value: Column) -> Column:
+    return F.when(value > 0.15, "used").when(value > 0.05, "partial").otherwise("unused")

@@ -195,3 +195,26 @@ def _(spark, d):
 def _(spark, d):
     w, cjk = C.words(F.col("text")), F.regexp_count("text", F.lit(T.CJK))
     return read(spark, d, "documents").select("doc_id", F.size(w).alias("n_words"), F.size(F.array_distinct(w)).alias("n_distinct"), F.ceil(1.5 * cjk + 0.25 * (F.length("text") - cjk)).alias("cost"))
+
+
+ENGAGED = f"""0.5e0 + (CASE WHEN length(text) > greatest(1, length(question)) THEN 0.25e0 WHEN 2 * length(text) > greatest(1, length(question)) THEN 0.15e0 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[？?]') THEN 0.1e0 ELSE 0 END)
+ + (CASE WHEN regexp_matches(text, '(?i){D.AGREEMENT}') THEN 0.15e0 ELSE 0 END) - (CASE WHEN regexp_matches(text, '(?i){D.DISSENT}') THEN 0.2e0 ELSE 0 END) - (CASE WHEN length(text) < 5 AND regexp_matches(text, '(?i){D.SHRUG}') THEN 0.15e0 ELSE 0 END)"""
+
+
+@query("x8_engagement", f"WITH {TURNS} SELECT conv_id, turn, CASE WHEN text = '' THEN 0e0 ELSE round(greatest(0e0, least(1e0, {ENGAGED})), 6) END AS engagement FROM u WHERE question IS NOT NULL")
+def _(spark, d):
+    return _turns(spark, d).where("question is not null").select("conv_id", "turn", F.round(D.engagement(F.col("text"), F.col("question")), 6).alias("engagement"))
+
+
+TOKENS = "list_distinct(list_transform(regexp_extract_all(lower({}), '[a-z]{{2,}}|[0-9]{{2,}}'), lambda x: x))"
+GRAMS = "list_distinct(list_transform(range(1, greatest(1, length({0}) - 1)), lambda i: substring({0}, i, 3)))"
+
+
+# the table holds no CJK text, so the oracle leaves that part out
+@query("x8_affinity", rf"""WITH {TURNS}, p AS (SELECT conv_id, turn, {TOKENS.format('question')} AS a, {TOKENS.format('text')} AS b, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS q, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM u WHERE question IS NOT NULL),
+ g AS (SELECT *, {GRAMS.format('q')} AS ga, {GRAMS.format('t')} AS gb FROM p), s AS (SELECT conv_id, turn, round(0.3e0 * (CASE WHEN len(ga) = 0 OR len(gb) = 0 THEN 0e0 ELSE len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))) END) + 0.4e0 * (CASE WHEN len(a) = 0 THEN 0e0 ELSE len(list_intersect(a, b)) / len(a) END), 6) AS affinity FROM g)
+ SELECT *, CASE WHEN affinity > 0.15 THEN 'used' WHEN affinity > 0.05 THEN 'partial' ELSE 'unused' END AS signal FROM s""")
+def _(spark, d):
+    """The turn before as the injected memory."""
+    a = _turns(spark, d).where("question is not null").select("conv_id", "turn", F.round(D.affinity(F.col("question"), F.col("text")), 6).alias("affinity"))
+    return a.withColumn("signal", D.affinity_signal(F.col("affinity")))
