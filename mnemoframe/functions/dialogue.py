@@ -132,7 +132,8 @@ def affinity(memory: Column, response: Column) -> Column:
     shared = chunks.bound(kept(m), lambda w: F.when(F.size(w) > 0, F.size(F.array_intersect(w, kept(r))) / F.size(w)).otherwise(F.lit(0.0)))
     names = F.regexp_extract_all(m, F.lit("([一-鿿]{2,4})"), F.lit(1))
     named = F.when(F.size(names) > 0, F.size(F.filter(names, lambda n: F.contains(r, n))) / F.size(names)).otherwise(F.lit(0.0))
-    return 0.3 * T.jaccard(T.trigrams(m), T.trigrams(r)) + 0.4 * shared + 0.3 * named
+    alike = chunks.bound(T.trigrams(m), lambda a: chunks.bound(T.trigrams(r), lambda b: T.jaccard(a, b)))
+    return 0.3 * alike + 0.4 * shared + 0.3 * named
 
 
 def affinity_signal(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemoframe.functions.chunks import bound
+
 CJK = r"[一-鿿]"
 
 
@@ -22,7 +24,7 @@ def latin_words(text: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct character trigrams of the lower-case text with single spaces; none under three characters."""
     t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    return F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substr(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return bound(t, lambda t: F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substr(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
