@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Each document becomes its sequence of line hashes. Every line that several documents hold links each later document to the
-earliest holder (lines with at most ``rare_documents`` holders also link it to the holder just before it), so a line of any
-frequency gives a number of pairs in proportion to its rows, never all pairs. The hash sequences of a pair are aligned by patience
-diff; runs of aligned lines with at least ``min_block_words`` words are deleted from the later document. Line hashes are taken
-from the original texts, so one deletion never hides another.
+Each document becomes its sequence of line hashes and its minimal runs: from each line on, and back from each line, the fewest
+consecutive lines with ``min_block_words`` words. A run that several documents hold links each later document to the earliest
+holder, so a run of any frequency gives a number of pairs in proportion to its rows, never all pairs. The hash sequences of a pair
+are aligned by patience diff; runs of aligned lines with at least ``min_block_words`` words are deleted from the later document,
+and so are shared runs that the alignment passes over because they stand in another order. Each line of a repeated block lies in
+a minimal run within the block, so exactly the lines go that lie in a block of consecutive lines of enough words which an earlier
+document holds too, however common each line is. Line hashes are taken from the original texts, so one deletion never hides another.
 
 Defined cases: documents are ordered by doc_id, those of equal doc_id by a hash of the text; rows equal in both are one document
 and lose the same lines; rows with null doc_id, null or empty texts are returned as they are. Lines
@@ -23,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import stored
+from mnemoframe.llm.common import mix, stored
 
 BLANK = 0
+_BASE = 0x9E3779B97F4A7C15
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
@@ -97,8 +100,38 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def minimal_runs(hashes: list[int], words: list[int], min_block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line after the last, hash) of the shortest runs of enough words from each line on and back from each line."""
+    n = len(hashes)
+    total = np.concatenate([[0], np.cumsum(np.array(words, np.int64))])
+    least = max(1, min_block_words)
+    ahead, back = np.searchsorted(total, total[:-1] + least), np.searchsorted(total, total[1:] - least, "right") - 1
+    from_line, to_line = np.flatnonzero(ahead <= n), np.flatnonzero(back >= 0)
+    spans = np.unique(np.concatenate([from_line * (n + 1) + ahead[from_line], back[to_line] * (n + 1) + to_line + 1]))
+    first, end = spans // (n + 1), spans % (n + 1)
+    with np.errstate(over="ignore"):
+        one = np.ones(1, np.uint64)
+        power = np.cumprod(np.concatenate([one, np.full(n, _BASE, np.uint64)]))
+        under = np.cumprod(np.concatenate([one, np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(np.array(hashes, np.int64).view(np.uint64) + np.uint64(_BASE)) * power[:-1])])
+        keys = mix((sums[end] - sums[first]) * under[first] + (end - first).astype(np.uint64))
+    return first, end, keys.view(np.int64)
+
+
+def shared_runs(a: list[int], b: list[int], words_b: list[int], min_block_words: int) -> list[int]:
+    """Lines of b in minimal runs that a holds too, in whatever order."""
+    known = dict(zip(b, words_b))
+    _, _, held = minimal_runs(a, [known.get(h, 1) for h in a], min_block_words)  # a run with a line that b lacks meets none of b
+    first, end, keys = minimal_runs(b, words_b, min_block_words)
+    hit = np.isin(keys, held)
+    cover = np.zeros(len(b) + 1, np.int64)
+    np.add.at(cover, first[hit], 1)
+    np.add.at(cover, end[hit], -1)
+    return np.flatnonzero(np.cumsum(cover)[:-1] > 0).tolist()
+
+
 def common_lines(a: list[int], b: list[int], words_b: list[int], min_block_words: int) -> list[int]:
-    """Lines of b in aligned blocks of enough words."""
+    """Lines of b in aligned blocks of enough words, and in shared runs that cross the alignment."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -109,10 +142,10 @@ def common_lines(a: list[int], b: list[int], words_b: list[int], min_block_words
             block = []
         block.append(j)
         last = (i, j)
-    return out
+    return out if len(out) == len(b) else sorted({*out, *shared_runs(a, b, words_b, min_block_words)})
 
 
-def removed_lines(docs: DataFrame, min_block_words: int = 20, rare_documents: int = 50) -> DataFrame:
+def removed_lines(docs: DataFrame, min_block_words: int = 20) -> DataFrame:
     """(key, removed: sorted indices of lines to delete) for documents that lose any."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +153,19 @@ def removed_lines(docs: DataFrame, min_block_words: int = 20, rare_documents: in
             rows = [line_hashes(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["key", "hashes", "words"])
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(minimal_runs(h, w, min_block_words)[2]) for h, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            if found:
+                of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.concatenate(found))], names=["key", "run"])
+
     rows = docs.where("doc_id is not null and text is not null").select(F.struct("doc_id", F.xxhash64("text").alias("version")).alias("key"), "text")
     key = "struct<doc_id:bigint,version:bigint>"
     lines = stored(rows.mapInArrow(hashed, f"key {key}, hashes array<long>, words array<int>").groupBy("key").agg(F.any_value("hashes").alias("hashes"), F.any_value("words").alias("words")), "lines")
-    held = lines.select("key", F.explode(F.array_distinct("hashes")).alias("hash")).where(F.col("hash") != BLANK)
-    first = held.groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    common = held.join(first, "hash").where(F.col("key") > F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b"))
-    before = Window.partitionBy("hash").orderBy("key")
-    rare = held.join(first.where(F.col("n") <= rare_documents), "hash").withColumn("a", F.lag("key").over(before)).where("a is not null").select("a", F.col("key").alias("b"))
-    pairs = common.unionAll(rare).distinct()
+    held = lines.select("key", "hashes", "words").mapInArrow(runs, f"key {key}, run long")
+    first = held.groupBy("run").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
+    pairs = held.join(first, "run").where(F.col("key") > F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
     sides = pairs.join(lines.select(F.col("key").alias("b"), F.col("hashes").alias("hashes_b"), "words"), "b").join(lines.select(F.col("key").alias("a"), F.col("hashes").alias("hashes_a")), "a")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +181,8 @@ def removed_lines(docs: DataFrame, min_block_words: int = 20, rare_documents: in
 STATS = ("n_lines", "n_removed", "removed_words")
 
 
-def _cut(docs: DataFrame, min_block_words: int, rare_documents: int, stats: bool, drop_emptied: bool) -> DataFrame:
-    removed = removed_lines(docs, min_block_words, rare_documents)
+def _cut(docs: DataFrame, min_block_words: int, stats: bool, drop_emptied: bool) -> DataFrame:
+    removed = removed_lines(docs, min_block_words)
     names = [c for c in docs.columns if not stats or c not in STATS]
     text_at, size_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of docs meets one of this join
@@ -179,14 +216,14 @@ def _cut(docs: DataFrame, min_block_words: int, rare_documents: int, stats: bool
     return wide.select(*own, "removed").mapInArrow(cut, schema)
 
 
-def dedup_lines(docs: DataFrame, min_block_words: int = 20, rare_documents: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_block_words: int = 20) -> DataFrame:
     """``docs`` with the shortened text (n_chars, if there, follows it), then n_lines, n_removed (lines) and removed_words.
 
     Columns of docs with those three names are replaced.
     """
-    return _cut(docs, min_block_words, rare_documents, stats=True, drop_emptied=False)
+    return _cut(docs, min_block_words, stats=True, drop_emptied=False)
 
 
-def without_repeated_blocks(docs: DataFrame, min_block_words: int = 20, rare_documents: int = 50) -> DataFrame:
+def without_repeated_blocks(docs: DataFrame, min_block_words: int = 20) -> DataFrame:
     """``docs`` with the shortened text and n_chars, all columns kept; documents that lose their last word go."""
-    return _cut(docs, min_block_words, rare_documents, stats=False, drop_emptied=True)
+    return _cut(docs, min_block_words, stats=False, drop_emptied=True)

@@ -134,6 +134,29 @@ def test_patience():
     assert len(linededup.patience(many, many[:2000])) == 2000
 
 
+def repeated_lines(a, b, words_b, least):
+    """By brute force: the lines of b in a block of consecutive lines of at least ``least`` words that a holds."""
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(words_b[j : j + n]) >= least:
+                out |= set(range(j, j + n))
+    return sorted(out)
+
+
+LINES = st.lists(st.integers(0, 4), max_size=14)
+
+
+@given(LINES, LINES, st.integers(1, 12))
+@settings(deadline=None, max_examples=300)
+def test_common_lines_are_all_repeated_blocks(a, b, least):
+    words = [3 * x % 5 for x in b]  # 0 for a blank line
+    assert linededup.common_lines(a, b, words, least) == repeated_lines(a, b, words, least)
+
+
 def test_cross_parsing():
     a = langid.Automaton(np.array([0, 1, 0, 2]), 3)  # abac
     for text, phrases in (("abac", 1), ("abacba", 2), ("cc", 2), ("cab", 2)):

@@ -73,6 +73,23 @@ def test_line_dedup(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_common_lines(spark):
+    """Blocks of lines that are each common on their own, against all pairs; document 70 shares its block with 60 only."""
+    from test_kernels import repeated_lines
+
+    rng = random.Random(5)
+    pool = [words(100 + k, 2 + k % 11) for k in range(20)] + [""]
+    x, y = words(200, 8), words(201, 12)
+    texts = [rng.choices(pool, k=12) + ([x] if k % 2 else [y]) for k in range(120)]
+    texts[60] = [words(300, 9), x, y, words(301, 9)]
+    texts[70] = [words(302, 9), x, y, words(303, 9)]
+    docs = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.key.doc_id: r.removed for r in linededup.removed_lines(docs).collect()}
+    split = [linededup.line_hashes("\n".join(t)) for t in texts]
+    want = {k: sorted({j for a, _ in split[:k] for j in repeated_lines(a, h, w, 20)}) for k, (h, w) in enumerate(split)}
+    assert got[70] == [1, 2] and got == {k: v for k, v in want.items() if v}
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_packing(docs, empty, capacity):
     got = packing.pack(docs, PATH, capacity).collect()
