@@ -173,6 +173,12 @@ def _(spark, d):
 
 @query("a11_succession", f"""WITH t AS (SELECT conv_id, turn, {LATIN.format('text')} AS l FROM conversations), u AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i)[1:10] AS w FROM t),
  s AS (SELECT w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM u) , e AS (SELECT unnest(b) AS word, w FROM s WHERE b IS NOT NULL), g AS (SELECT word, unnest(w) AS next_word FROM e) SELECT word, next_word, count(*) AS n FROM g GROUP BY ALL""")
+def _(spark, d):
+    return stats.succession(read(spark, d, "conversations"), "conv_id", "turn", "text", most_next=10)
+
+
+@query("a11_succession_whole", f"""WITH t AS (SELECT conv_id, turn, {LATIN.format('text')} AS l FROM conversations), u AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS w FROM t),
+ s AS (SELECT w, lag(w[1:10]) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM u) , e AS (SELECT unnest(b) AS word, w FROM s WHERE b IS NOT NULL), g AS (SELECT word, unnest(w) AS next_word FROM e) SELECT word, next_word, count(*) AS n FROM g GROUP BY ALL""")
 def _(spark, d):
     return stats.succession(read(spark, d, "conversations"), "conv_id", "turn", "text")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import scores as S
 from mnemoframe.functions import text as T
+from mnemoframe.operators import stats
 from mnemoframe.sources import sinks, tables
 from mnemoframe.streaming import events as streaming
 
@@ -43,3 +44,10 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = streaming.topic_windows(spark.read.parquet(str(tmp_path / "in")))
     assert sorted(map(tuple, spark.table("topics").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_succession_keeps_every_word_of_the_next_turn(spark):
+    one, two = (" ".join(f"{c}{chr(97 + k)}" for k in range(15)) for c in "xy")
+    turns = spark.createDataFrame([(1, 1, one), (1, 2, f"{two} ya")], "conv_id int, turn int, text string")
+    got = {(r.word, r.next_word): r.n for r in stats.succession(turns, "conv_id", "turn", "text").collect()}
+    assert got == {(a, b): 1 for a in one.split()[:10] for b in two.split()}
