@@ -28,9 +28,23 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.1
     return now
 
 
-def spreading(edges: DataFrame, seeds: DataFrame, rounds: int = 2, decay: float = 0.5) -> DataFrame:
-    """(node, activation): seeds hold 1; every round each node passes decay * weight of what it got last; activations add up."""
-    both = edges.select("source", "target", "weight").unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
+def _undirected(edges: DataFrame) -> DataFrame:
+    return edges.select("source", "target", "weight").unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
+
+
+def spreading(edges: DataFrame, seeds: DataFrame, rounds: int = 3, decay: float = 0.5, least: float = 0.01) -> DataFrame:
+    """(node, activation): seeds hold 1; every round each node of at least ``least`` passes decay * weight of all it holds; activations add up."""
+    both = _undirected(edges)
+    total = seeds.select("node").distinct().withColumn("activation", F.lit(1.0))
+    for _ in range(rounds):
+        spread = total.where(F.col("activation") >= least).join(both, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (decay * F.col("activation") * F.col("weight")).alias("activation"))
+        total = total.unionByName(spread).groupBy("node").agg(F.sum("activation").alias("activation"))
+    return total
+
+
+def spreading_waves(edges: DataFrame, seeds: DataFrame, rounds: int = 2, decay: float = 0.5) -> DataFrame:
+    """(node, activation): as ``spreading``, but every round each node passes on only what it got last."""
+    both = _undirected(edges)
     wave = seeds.select("node").distinct().withColumn("activation", F.lit(1.0))
     total = wave
     for _ in range(rounds):

@@ -294,6 +294,15 @@ def _(spark, d):
 
 @query("g6_spreading", f"""WITH {EDGES}, b AS (SELECT * FROM edges UNION ALL SELECT target, source, weight FROM edges), w0 AS (SELECT 'c1' AS node, 1e0 AS a UNION ALL SELECT 'c2', 1e0), w1 AS (SELECT target AS node, 0.5e0 * sum(a * weight) AS a FROM w0 JOIN b ON node = source GROUP BY 1),
  w2 AS (SELECT target AS node, 0.5e0 * sum(a * weight) AS a FROM w1 JOIN b ON node = source GROUP BY 1) SELECT node, round(sum(a), 6) AS activation FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2) GROUP BY node""")
+def _(spark, d):
+    return graph.spreading_waves(_edges(spark, d), _seeds(spark)).select("node", F.round("activation", 6).alias("activation"))
+
+
+SPREAD_STEP = "SELECT node, sum(a) AS a FROM (SELECT node, a FROM {0} UNION ALL SELECT target, 0.5e0 * a * weight FROM {0} JOIN b ON node = source WHERE a >= 0.01e0) GROUP BY node"
+
+
+@query("g6_spreading_accumulated", f"""WITH {EDGES}, b AS (SELECT * FROM edges UNION ALL SELECT target, source, weight FROM edges), a0 AS (SELECT 'c1' AS node, 1e0 AS a UNION ALL SELECT 'c2', 1e0),
+ a1 AS ({SPREAD_STEP.format('a0')}), a2 AS ({SPREAD_STEP.format('a1')}), a3 AS ({SPREAD_STEP.format('a2')}) SELECT node, round(a, 6) AS activation FROM a3""")
 def _(spark, d):
     return graph.spreading(_edges(spark, d), _seeds(spark)).select("node", F.round("activation", 6).alias("activation"))
 

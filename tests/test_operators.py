@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import scores as S
 from mnemoframe.functions import text as T
-from mnemoframe.operators import stats
+from mnemoframe.operators import graph, stats
 from mnemoframe.sources import sinks, tables
 from mnemoframe.streaming import events as streaming
 
@@ -51,3 +51,17 @@ def test_succession_keeps_every_word_of_the_next_turn(spark):
     turns = spark.createDataFrame([(1, 1, one), (1, 2, f"{two} ya")], "conv_id int, turn int, text string")
     got = {(r.word, r.next_word): r.n for r in stats.succession(turns, "conv_id", "turn", "text").collect()}
     assert got == {(a, b): 1 for a in one.split()[:10] for b in two.split()}
+
+
+def test_spreading_passes_on_all_that_was_gathered(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "e", 0.01), ("e", "f", 1.0)], "source string, target string, weight double")
+    held = {"a": 1.0}
+    for _ in range(3):
+        now = dict(held)
+        for s, t, w in map(tuple, edges.collect()):
+            for x, y in ((s, t), (t, s)):
+                if held.get(x, 0) >= 0.01:
+                    now[y] = now.get(y, 0) + 0.5 * held[x] * w
+        held = now
+    got = {r.node: r.activation for r in graph.spreading(edges, spark.createDataFrame([("a",)], "node string")).collect()}
+    assert set(got) == set(held) and all(abs(got[k] - held[k]) < 1e-12 for k in held) and got["d"] == 0.125
