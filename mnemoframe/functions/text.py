@@ -10,11 +10,38 @@ from mnemoframe.functions.chunks import bound
 CJK = r"[一-鿿]"
 
 
+# Characters that two together make no term for scoring.
+CJK_STOPS = "的了是在我你他不有这那就也和但"
+
+
+def _cjk_runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"({CJK}+)"), F.lit(1))
+
+
+def _windows(run: Column, size: int) -> Column:
+    return F.when(F.length(run) >= size, F.transform(F.sequence(F.lit(1), F.length(run) - (size - 1)), lambda i: F.substr(run, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
 def tokens(text: Column) -> Column:
     """Distinct tokens: two-character windows over CJK runs (and runs of 3 or 4 whole) first, then lower-case Latin words and digits."""
-    runs = F.regexp_extract_all(text, F.lit(rf"({CJK}+)"), F.lit(1))
-    windows = F.flatten(F.transform(runs, lambda s: F.concat(F.when(F.length(s) >= 2, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))).otherwise(F.array().cast("array<string>")), F.when(F.length(s).between(3, 4), F.array(s)).otherwise(F.array().cast("array<string>")))))
-    return F.array_distinct(F.concat(windows, latin_words(text)))
+    return F.array_distinct(all_tokens(text))
+
+
+def all_tokens(text: Column) -> Column:
+    """The tokens of ``tokens`` with their repetitions."""
+    windows = F.flatten(F.transform(_cjk_runs(text), lambda s: F.concat(_windows(s, 2), F.when(F.length(s).between(3, 4), F.array(s)).otherwise(F.array().cast("array<string>")))))
+    return F.concat(windows, latin_words(text))
+
+
+def scoring_terms(text: Column) -> Column:
+    """Terms with their repetitions: CJK windows of two (not of two stop characters) and of three characters, then Latin words and digits."""
+    windows = F.flatten(F.transform(_cjk_runs(text), lambda s: F.concat(F.filter(_windows(s, 2), lambda w: ~w.rlike(f"^[{CJK_STOPS}]{{2}}$")), _windows(s, 3))))
+    return F.concat(windows, latin_words(text))
+
+
+def overlap_words(text: Column) -> Column:
+    """Distinct whole CJK runs of two characters or more, Latin words and digits."""
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(rf"({CJK}{{2,}})"), F.lit(1)), latin_words(text)))
 
 
 def latin_words(text: Column) -> Column:

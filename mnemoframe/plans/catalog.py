@@ -126,7 +126,7 @@ def _(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = read(spark, d, "conversations").withColumn("g", F.array_distinct(T.latin_words(F.col("text")))).withColumn("h", F.lag("g").over(w)).where("h is not null")
+    rows = read(spark, d, "conversations").withColumn("g", T.overlap_words(F.col("text"))).withColumn("h", F.lag("g").over(w)).where("h is not null")
     return rows.select("conv_id", "turn", F.round(T.dice(F.col("g"), F.col("h")), 6).alias("dice"))
 
 
@@ -211,7 +211,7 @@ def _(spark, d):
  h AS (SELECT query_id, doc_id, sum(ln((tf + mass) / mass)) AS gain FROM m JOIN tf USING (term) GROUP BY ALL), s AS (SELECT query_id, doc_id, round(base + gain - ql * ln(dl + 2000e0), 6) AS score FROM h JOIN w USING (query_id) JOIN l USING (doc_id)),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""")
 def _(spark, d):
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.latin_words(F.col("text")))).alias("term"))
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.scoring_terms(F.col("text")))).alias("term"))
     return recall.dirichlet(read(spark, d, "documents"), q, "doc_id", "text").select("query_id", "doc_id", "score", "rank")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import scores as S
 from mnemoframe.functions import text as T
-from mnemoframe.operators import graph, stats
+from mnemoframe.operators import graph, recall, stats
 from mnemoframe.sources import sinks, tables
 from mnemoframe.streaming import events as streaming
 
@@ -65,3 +65,14 @@ def test_spreading_passes_on_all_that_was_gathered(spark):
         held = now
     got = {r.node: r.activation for r in graph.spreading(edges, spark.createDataFrame([("a",)], "node string")).collect()}
     assert set(got) == set(held) and all(abs(got[k] - held[k]) < 1e-12 for k in held) and got["d"] == 0.125
+
+
+def test_cjk_terms_count(spark):
+    rows = spark.createDataFrame([(1, 1, "喜欢咖啡 ok ok"), (1, 2, "咖啡 是的 喜欢咖啡")], "conv_id int, turn int, text string")
+    got = rows.orderBy("turn").select(T.all_tokens("text").alias("a"), T.scoring_terms("text").alias("s"), T.overlap_words("text").alias("o")).collect()
+    assert got[0].a == ["喜欢", "欢咖", "咖啡", "喜欢咖啡", "ok", "ok"] and got[0].s == ["喜欢", "欢咖", "咖啡", "喜欢咖", "欢咖啡", "ok", "ok"]
+    assert got[1].s == ["咖啡", "喜欢", "欢咖", "咖啡", "喜欢咖", "欢咖啡"] and got[1].o == ["咖啡", "是的", "喜欢咖啡"]
+    assert ("咖啡", "咖啡") in {(r.word, r.next_word) for r in stats.succession(rows, "conv_id", "turn", "text").collect()}
+    assert ("喜欢", "欢咖") in {(r.w1, r.w2) for r in stats.ppmi(rows, "turn", "text").collect()}
+    best = recall.dirichlet(rows, spark.createDataFrame([(1, "咖啡")], "query_id int, term string"), "turn", "text").collect()
+    assert [(r.turn, r["rank"]) for r in best] == [(2, 1), (1, 2)]
