@@ -21,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import mix, stored
+from mnemoframe.llm.common import mix, row_chunks, stored, text_buffer
 
 BLANK = 0
+GROUP_ROWS = 256
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -145,17 +147,27 @@ def common_lines(a: list[int], b: list[int], words_b: list[int], min_block_words
     return out if len(out) == len(b) else sorted({*out, *shared_runs(a, b, words_b, min_block_words)})
 
 
+def lists_of(column: pa.Array) -> Iterator[list[int]]:
+    """The lists of a column in turn, so that only one is held as Python numbers; a null is an empty list."""
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy()
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield values[a:b].tolist()
+
+
 def removed_lines(docs: DataFrame, min_block_words: int = 20) -> DataFrame:
     """(key, removed: sorted indices of lines to delete) for documents that lose any."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [line_hashes(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["key", "hashes", "words"])
+            _, offsets = text_buffer(batch.column(1))
+            for lo, hi in row_chunks(offsets):
+                rows = [line_hashes(t or "") for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["key", "hashes", "words"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(minimal_runs(h, w, min_block_words)[2]) for h, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            found = [np.unique(minimal_runs(h, w, min_block_words)[2]) for h, w in zip(lists_of(batch.column(1)), lists_of(batch.column(2)))]
             if found:
                 of = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.concatenate(found))], names=["key", "run"])
@@ -165,16 +177,28 @@ def removed_lines(docs: DataFrame, min_block_words: int = 20) -> DataFrame:
     lines = stored(rows.mapInArrow(hashed, f"key {key}, hashes array<long>, words array<int>").groupBy("key").agg(F.any_value("hashes").alias("hashes"), F.any_value("words").alias("words")), "lines")
     held = lines.select("key", "hashes", "words").mapInArrow(runs, f"key {key}, run long")
     first = held.groupBy("run").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
-    pairs = held.join(first, "run").where(F.col("key") > F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
-    sides = pairs.join(lines.select(F.col("key").alias("b"), F.col("hashes").alias("hashes_b"), "words"), "b").join(lines.select(F.col("key").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+    pairs = stored(held.join(first, "run").where(F.col("key") > F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    # a holder's lines stand once before those of at most about GROUP_ROWS later documents, never once for each of them
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("n"))
+    later = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("part"), "b").join(lines.withColumnRenamed("key", "b"), "b")
+    holders = groups.join(lines.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(None).cast(key).alias("b"), "hashes", F.lit(None).cast("array<int>").alias("words"))
+    sides = holders.unionByName(later).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).select("b", "hashes", "words")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holder: list[int] = []
         for batch in batches:
-            got = [common_lines(a, b, w, min_block_words) for a, b, w in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
-            keep = np.array([bool(x) for x in got], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array([x for x in got if x], pa.list_(pa.int32()))], names=["key", "removed"])
-
-    found = sides.select(F.col("b").alias("key"), "hashes_a", "hashes_b", "words").mapInArrow(aligned, f"key {key}, removed array<int>")
+            keep, gone = [], []
+            follows = pc.is_valid(batch.column(0)).to_pylist()
+            for k, (hashes, words) in enumerate(zip(lists_of(batch.column(1)), lists_of(batch.column(2)))):
+                if not follows[k]:
+                    holder = hashes
+                elif found := common_lines(holder, hashes, words, min_block_words):
+                    keep.append(k)
+                    gone.append(np.array(found, np.int32))
+            if keep:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(gone, pa.list_(pa.int32()))], names=["key", "removed"])
+
+    found = sides.mapInArrow(aligned, f"key {key}, removed array<int>")
     return found.select("key", F.explode("removed").alias("line")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
@@ -192,26 +216,31 @@ def _cut(docs: DataFrame, min_block_words: int, stats: bool, drop_emptied: bool)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns[: len(names)])
-            texts = columns[text_at].to_pylist()
-            keep = np.ones(len(batch), bool)
-            measured = [[t.count("\n") + 1 if t is not None else 0 for t in texts], [0] * len(texts), [0] * len(texts)]
-            sizes = columns[size_at].to_pylist() if size_at >= 0 else None
-            for k, gone in enumerate(batch.column(len(names)).to_pylist()):
-                if not gone:
-                    continue
-                lines, drop = texts[k].split("\n"), set(gone)
-                measured[1][k], measured[2][k] = len(drop), sum(len(lines[j].encode().split()) for j in drop)
-                texts[k] = "\n".join(x for j, x in enumerate(lines) if j not in drop)
-                keep[k] = not drop_emptied or bool(texts[k].encode().split())
-                if sizes:
-                    sizes[k] = len(texts[k])
-            columns[text_at] = pa.array(texts, pa.string())
+            _, offsets = text_buffer(batch.column(text_at))
+            for lo, hi in row_chunks(offsets):
+                yield shortened(batch.slice(lo, hi - lo))
+
+    def shortened(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = list(batch.columns[: len(names)])
+        texts = columns[text_at].to_pylist()
+        keep = np.ones(len(batch), bool)
+        measured = [[t.count("\n") + 1 if t is not None else 0 for t in texts], [0] * len(texts), [0] * len(texts)]
+        sizes = columns[size_at].to_pylist() if size_at >= 0 else None
+        for k, gone in enumerate(batch.column(len(names)).to_pylist()):
+            if not gone:
+                continue
+            lines, drop = texts[k].split("\n"), set(gone)
+            measured[1][k], measured[2][k] = len(drop), sum(len(lines[j].encode().split()) for j in drop)
+            texts[k] = "\n".join(x for j, x in enumerate(lines) if j not in drop)
+            keep[k] = not drop_emptied or bool(texts[k].encode().split())
             if sizes:
-                columns[size_at] = pa.array(sizes, columns[size_at].type)
-            if stats:
-                columns += [pa.array(x, pa.int64()) for x in measured]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep))
+                sizes[k] = len(texts[k])
+        columns[text_at] = pa.array(texts, pa.string())
+        if sizes:
+            columns[size_at] = pa.array(sizes, columns[size_at].type)
+        if stats:
+            columns += [pa.array(x, pa.int64()) for x in measured]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep))
 
     return wide.select(*own, "removed").mapInArrow(cut, schema)
 
