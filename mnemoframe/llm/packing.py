@@ -13,16 +13,17 @@ are ignored. Rows of null doc_id are packed like others.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +33,50 @@ CAPACITY = 4096
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CACHE_WORDS = 800_000
 CACHE_PARTS = 600_000
+BLOCK_BYTES = 4 << 20
+
+
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+
+
+class Pool:
+    """Lists of ids under running numbers, in two arrays that double when they are full."""
+
+    def __init__(self) -> None:
+        self.ids, self.first, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        used, n = int(self.first[self.n]), self.n + len(sizes)
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n >= len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        self.first[self.n + 1 : n + 1] = used + np.cumsum(sizes)
+        self.ids[used : used + len(ids)] = ids
+        self.n = n
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the lists of these numbers, and the lists one after another."""
+        first = self.first[numbers]
+        size = self.first[numbers + 1] - first
+        return size, self.ids[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
+
+
+# The normaliser and pre-tokenizer that the chunk memory is right for.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [{"type": "Split", "pattern": {"Regex": PARTS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+SIMPLE = r"^[\x{21}-\x{7e}\x{a1}-\x{ac}\x{ae}-\x{ff}]+$"
 
 
 class ChunkTokenizer:
     """Ids of whole texts through a memory of the ids of white-space separated chunks.
 
-    The tokenizer's pre-tokenizer never joins characters over white space, so a text's ids are those of its chunks in turn. A new
-    chunk of ASCII and Latin-1 characters is cut as the pre-tokenizer does, and only its unknown parts go through the BPE model;
-    any other chunk goes through the whole tokenizer. Each memory is emptied when it is full.
+    The tokenizer's pre-tokenizer never joins characters over white space, so a text's ids are those of its chunks in turn. New
+    chunks of ASCII and Latin-1 characters are cut together as the pre-tokenizer does, and only unknown parts go through the BPE
+    model; any other chunk goes through the whole tokenizer. Each memory is emptied when it is full. A tokenizer file with another
+    normaliser, pre-tokenizer, post-processor or white space in a special token encodes whole texts instead.
     """
 
     def __init__(self, path: str):
@@ -48,9 +85,16 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        special = [x["content"] for x in made["added_tokens"]]
+        self.chunked = (
+            (made["normalizer"] or {}).get("normalizers") == NORMALIZERS
+            and (made["pre_tokenizer"] or {}).get("pretokenizers") == PRE_TOKENIZERS
+            and not made["post_processor"] and made["model"]["type"] == "BPE"
+            and all(x.startswith("<|") and not any(map(str.isspace, x)) for x in special)
+        )
         self.tokenize = self.tokenizer.model.tokenize
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.simple = regex.compile(r"(?!.*<\|)[\x21-\x7e\xa1-\xac\xae-\xff]+").fullmatch
+        self.parts = regex.compile(PARTS + "|\n").findall
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in shown]
@@ -58,55 +102,58 @@ class ChunkTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.known_parts: dict[str, bytes] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def chunk_ids(self, chunk: bytes) -> bytes:
-        """The ids as unsigned 32-bit numbers; bytes, unlike lists, give the garbage collector nothing to scan."""
-        text = chunk.decode()
-        if not self.simple(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        parts = self.parts(text.lower())
-        for part in parts:
-            if part not in self.known_parts:
-                tokens = self.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet))
-                self.known_parts[part] = array("I", [x.id for x in tokens]).tobytes()
-        return b"".join(map(self.known_parts.__getitem__, parts))
-
-    def learn(self, chunks: list[bytes]) -> None:
+        self.known: dict[str, int] = {}
+        self.lists = Pool()
+        self.known_parts: dict[str, int] = {}
+        self.part_lists = Pool()
+
+    def _part_numbers(self, parts: list[str]) -> np.ndarray:
+        new = [p for p in parts if p not in self.known_parts]
+        if new:
+            found = [[x.id for x in self.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet))] if p != "\n" else [] for p in new]
+            self.known_parts.update(zip(new, range(self.part_lists.n, self.part_lists.n + len(new))))
+            self.part_lists.add(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
+        return np.fromiter(map(self.known_parts.__getitem__, parts), np.int64, len(parts))
+
+    def learn(self, chunks: pa.Array) -> None:
         if len(self.known_parts) > CACHE_PARTS:
-            self.known_parts.clear()
-        found = list(map(self.chunk_ids, chunks))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        total, n = int(sizes.sum()), len(self.known)
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(chunks) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        self.first[n + 1 : n + 1 + len(found)] = self.used + np.cumsum(sizes)
-        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(found), np.uint32)
-        self.used += total
-        self.known.update(zip(chunks, range(n, n + len(chunks))))
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [x.split() for x in texts]  # bytes split at ASCII white space only
-        at = list(map(self.known.get, chain.from_iterable(split)))
-        if None in at:
-            new = list(dict.fromkeys(c for c, k in zip(chain.from_iterable(split), at) if k is None))
+            self.known_parts, self.part_lists = {}, Pool()
+        simple = pc.and_not(pc.match_substring_regex(chunks, SIMPLE), pc.match_substring(chunks, "<|"))
+        plain = strings(chunks.filter(simple))
+        if plain:
+            found = pa.array(self.parts("\n".join(plain).lower()), pa.string()).dictionary_encode()
+            numbers = self._part_numbers(strings(found.dictionary))[found.indices.to_numpy()]
+            sizes, ids = self.part_lists.get(numbers)
+            chunk = np.cumsum(numbers == self.known_parts.get("\n", -1))
+            self._remember(plain, np.bincount(chunk, weights=sizes, minlength=len(plain)).astype(np.int64), ids)
+        others = chunks.filter(pc.invert(simple)).to_pylist()
+        if others:
+            lists = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in others]
+            self._remember(others, np.fromiter(map(len, lists), np.int64, len(lists)), np.fromiter(chain.from_iterable(lists), np.uint32))
+
+    def _remember(self, chunks: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(chunks, range(self.lists.n, self.lists.n + len(chunks))))
+        self.lists.add(sizes, ids)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        if not self.chunked:
+            return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        chunks = strings(words.dictionary)
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
+        if len(new):
             if len(self.known) + len(new) > CACHE_WORDS:
-                self.clear()
-                new = list(dict.fromkeys(chain.from_iterable(split)))
-            self.learn(new)
-            at = list(map(self.known.__getitem__, chain.from_iterable(split)))
-        place = np.array(at, np.int64)
-        first, size = self.first[place], self.first[place + 1] - self.first[place]
-        ends = np.cumsum(size)
-        ids = self.ids[np.arange(size.sum()) + np.repeat(first - (ends - size), size)]
-        stops = np.cumsum([0, *map(len, split)])
-        bounds = np.append(0, ends)[stops]
+                self.known, self.lists = {}, Pool()
+                new = np.arange(len(chunks))
+            self.learn(words.dictionary.take(pa.array(new)))
+            at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        sizes, ids = self.lists.get(at[words.indices.to_numpy()])
+        stops = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        bounds = np.append(0, np.cumsum(sizes))[stops]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
@@ -120,11 +167,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         tokenizer = _TOKENIZERS.get(tokenizer_path) or _TOKENIZERS.setdefault(tokenizer_path, ChunkTokenizer(tokenizer_path))
         for batch in batches:
             rows: list[tuple] = []
-            data, offsets = text_buffer(batch.column(1))
+            _, offsets = text_buffer(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
-            for lo, hi in row_chunks(offsets, 1 << 20):
-                texts = [data[a:b].tobytes() for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1])]
-                for doc_id, ids in zip(doc_ids[lo:hi], tokenizer.encode(texts)):
+            for lo, hi in row_chunks(offsets, BLOCK_BYTES):
+                for doc_id, ids in zip(doc_ids[lo:hi], tokenizer.encode(batch.column(1).slice(lo, hi - lo))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]

@@ -93,10 +93,48 @@ def test_tokenizer_memory_gives_the_tokenizers_ids():
     path = public.path("word_bpe_49k.json")
     texts = ["", "  ", "Don't you'll IT'S 12.5% x²½ª", "ÀÉ ß straße", "<|endoftext|> a<|startoftext|>b", "日本語 Σας", "İstanbul ﬁ—“q”", "a\u0085b\x1cc", "­x­", "word " * 5000]
     plain = tokenizers.Tokenizer.from_file(path)
-    got = packing.ChunkTokenizer(path).encode([t.encode() for t in texts])
+    got = packing.ChunkTokenizer(path).encode(pa.array(texts))
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_another_tokenizer_encodes_whole_texts(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    other = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    other.normalizer = tokenizers.normalizers.NFC()
+    other.save(str(tmp_path / "other.json"))
+    mine = packing.ChunkTokenizer(str(tmp_path / "other.json"))
+    assert not mine.chunked
+    assert [g.tolist() for g in mine.encode(pa.array(["Ab  c", None, ""]))] == [other.encode(t, add_special_tokens=False).ids for t in ("Ab  c", "", "")]
+
+
+def fewest_sequences(lengths, capacity):
+    """By brute force over all ways of putting pieces into sequences."""
+    best = len(lengths)
+
+    def place(k, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if k == len(lengths):
+            best = len(loads)
+            return
+        for i in range(len(loads)):
+            if loads[i] + lengths[k] <= capacity and loads[i] not in loads[:i]:
+                place(k + 1, [*loads[:i], loads[i] + lengths[k], *loads[i + 1 :]])
+        place(k + 1, [*loads, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+@given(st.lists(st.integers(1, 30), max_size=9))
+@settings(deadline=None, max_examples=150)
+def test_plan_against_the_optimum(lengths):
+    made = sum(m for _, m in packing.plan_lengths(collections.Counter(lengths), 30))
+    assert made <= fewest_sequences(sorted(lengths, reverse=True), 30) + 1
+
+
 def edits(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
