@@ -4,8 +4,8 @@ For every language a suffix automaton is built over sampled labelled text. A tex
 the longest match with the labelled text that begins where the last phrase ended. Phrases per character estimate the cross
 entropy; the language that needs fewest wins. Many segments are parsed in lockstep, one table lookup per character.
 
-Characters are lower-cased letters; everything else is a space, runs of spaces are one. Texts are parsed whole, in segments of
-``segment`` characters that each begin a phrase (at most one phrase more per segment).
+Characters are lower-cased letters; everything else is a space, runs of spaces are one. Texts are parsed whole: segments of
+``segment`` characters are parsed side by side and then joined exactly, so where a text is cut changes nothing.
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0; a language is learned only if a training row holds
 it; without any training row every text gets ``und``; ties go to the language first in alphabetical order. Repeated rows get equal
@@ -80,29 +80,66 @@ class Automaton:
         self.flat = self.table.ravel()
         self.width = n_symbols
 
-    def phrases(self, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Number of phrases of each column of ``grid`` (positions x texts), of which the first ``sizes`` symbols count.
+    def steps(self, grid: np.ndarray, sizes: np.ndarray, start: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(finished, state): phrases that end at each position of each column of ``grid``, and the state after its last symbol.
 
-        Columns come ordered by falling size.
+        grid: positions x segments, of which the first ``sizes`` symbols count; columns come ordered by falling size. start: state
+        before the first symbol. known: what an earlier parse of the columns from the root finished; where both begin a phrase at
+        the same place they agree from there on, so the column's parse ends there and its state is -1.
         """
         n = grid.shape[1]
-        state = np.ones(n, np.int32)
-        count = np.zeros(n, np.int32)
-        live = np.searchsorted(-sizes, -np.arange(grid.shape[0]), "left")
+        state = start.astype(np.int32)
+        out = np.zeros(grid.shape, np.uint8) if known is None else known
+        at = np.arange(n)
         root = self.table[1]
-        for k in range(grid.shape[0]):
-            m = live[k]
+        for k in range(int(sizes.max(initial=0))):
+            m = int(np.searchsorted(-sizes[at], -k, "left")) if known is not None or k >= sizes[-1] else n
             if not m:
                 break
-            c = grid[k, :m]
-            s = self.flat[state[:m] * self.width + c]
+            live = at[:m]
+            c = grid[k, live] if known is not None else grid[k, :m]
+            before = state[live]
+            s = self.flat[before * self.width + c]
             stop = s == 0
+            here = np.zeros(m, np.uint8)
             if stop.any():
-                count[:m] += stop
                 s = np.where(stop, root[c], s)
-                s[s == 0] = 1  # a symbol that the labelled text lacks is a phrase of its own
-            state[:m] = s
-        return count + (state != 1)  # a phrase still under way
+                lost = s == 0
+                here = (stop & (before != 1)).astype(np.uint8) + lost  # a symbol that the labelled text lacks is a phrase of its own
+                s[lost] = 1
+            state[live] = s
+            if known is None:
+                out[k, :m] = here
+            else:
+                met = stop & (known[k, live] > 0)
+                out[k, live] = here
+                if met.any():
+                    state[live[met]] = -1
+                    at = np.concatenate([live[~met], at[m:]])
+        return out, state
+
+    def phrases(self, grid: np.ndarray, sizes: np.ndarray, follows: np.ndarray | None = None) -> np.ndarray:
+        """Number of phrases that end in each column; follows: the column of the segment before in the same text, -1 for none.
+
+        Segments are first parsed each from the root. Then each goes on from the state in which the one before ended, until it
+        begins a phrase where its own parse did; this is repeated for those whose predecessor ended otherwise than thought.
+        """
+        n = grid.shape[1]
+        finished, state = self.steps(grid, sizes, np.ones(n))
+        follows = np.full(n, -1) if follows is None else follows
+        after = np.full(n, -1)
+        after[follows[follows >= 0]] = np.flatnonzero(follows >= 0)
+        todo = np.flatnonzero(follows >= 0)
+        while len(todo):
+            entered = state[follows[todo]]
+            again, end = self.steps(grid[:, todo], sizes[todo], entered, finished[:, todo])
+            finished[:, todo] = again
+            moved = (end >= 0) & (end != state[todo])
+            state[todo[moved]] = end[moved]
+            todo = np.sort(after[todo[moved]])
+            todo = todo[todo >= 0]
+        last = after < 0  # a phrase still under way ends with the text
+        return finished.sum(axis=0, dtype=np.int64) + (last & (state != 1))
 
 
 class Parser:
@@ -117,7 +154,7 @@ class Parser:
 
     def rates(self, texts: list[str]) -> np.ndarray:
         """Phrases per character, texts x languages; nan where a text has no letter."""
-        parts, owner = [], []
+        parts, owner, first = [], [], []
         sizes = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             s = letters(text)
@@ -128,6 +165,7 @@ class Parser:
             cut = range(0, len(s), self.segment)
             parts += [s[a : a + self.segment] for a in cut]
             owner += [k] * len(cut)
+            first += [True] + [False] * (len(cut) - 1)
         out = np.full((len(texts), len(self.langs)), np.nan)
         if not parts:
             return out
@@ -136,10 +174,13 @@ class Parser:
         grid = np.zeros((self.segment, len(parts)), np.uint16)
         for column, k in enumerate(order):
             grid[: size[k], column] = parts[k]
+        place = np.empty(len(parts), np.int64)
+        place[order] = np.arange(len(parts))
+        follows = np.where(first, -1, np.append(-1, place[:-1]))[order]
         owner = np.array(owner)[order]
         found = sizes > 0
         for j, automaton in enumerate(self.automata):
-            total = np.bincount(owner, weights=automaton.phrases(grid, size[order]), minlength=len(texts))
+            total = np.bincount(owner, weights=automaton.phrases(grid, size[order], follows), minlength=len(texts))
             out[found, j] = total[found] / sizes[found]
         return out
 
@@ -148,18 +189,28 @@ _PARSERS: dict[int, Parser] = {}
 
 
 def training_sample(docs: DataFrame, train: str, docs_per_lang: int = 64, chars_per_doc: int = 4096, chars_per_lang: int = 24_000) -> dict[str, str]:
-    """Labelled text of each language: at most ``chars_per_lang`` characters, from at most ``docs_per_lang`` documents.
+    """Labelled text of each language: about ``chars_per_lang`` characters, evenly from at most ``docs_per_lang`` documents.
 
-    The documents are those of least hash in each of ``docs_per_lang`` hash classes, so the choice depends on no order, and one
-    pre-aggregated row per language and class reaches the driver.
+    The documents are those of least hash in each of ``docs_per_lang`` hash classes, and the piece that each lends begins where its
+    hash says, so the choice depends on no order; one pre-aggregated row per language and class reaches the driver.
     """
     rank = F.xxhash64("doc_id", "text")
+    begins = (1 + F.pmod(F.xxhash64("text", F.lit(3)), F.greatest(F.lit(1), F.length("text") - chars_per_doc + 1))).cast("int")
     rows = docs.where("lang is not null and text is not null").where(train)
-    best = rows.groupBy("lang", F.pmod(rank, F.lit(docs_per_lang)).alias("class")).agg(F.min_by(F.substring("text", 1, chars_per_doc), F.struct(rank, "doc_id")).alias("text"))
-    out: dict[str, str] = {}
+    best = rows.groupBy("lang", F.pmod(rank, F.lit(docs_per_lang)).alias("class")).agg(F.min_by(F.substring(F.col("text"), begins, F.lit(chars_per_doc)), F.struct(rank, "doc_id")).alias("text"))
+    held: dict[str, list[str]] = {}
     for r in best.orderBy("lang", "class").toLocalIterator():
-        out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:chars_per_lang]
-    return out
+        held.setdefault(r["lang"], []).append(r["text"])
+    return {lang: " ".join(evenly(texts, chars_per_lang)) for lang, texts in held.items()}
+
+
+def evenly(texts: list[str], most: int) -> list[str]:
+    """The texts cut so that together they have at most ``most`` characters; what short ones leave goes to the longer."""
+    out = dict.fromkeys(range(len(texts)), "")
+    for left, k in zip(range(len(texts), 0, -1), sorted(out, key=lambda k: (len(texts[k]), k))):
+        out[k] = texts[k][: most // left]
+        most -= len(out[k])
+    return [out[k] for k in range(len(texts))]
 
 
 class Judge:

@@ -195,11 +195,39 @@ def test_common_lines_are_all_repeated_blocks(a, b, least):
     assert linededup.common_lines(a, b, words, least) == repeated_lines(a, b, words, least)
 
 
+def phrases_of(text, labelled):
+    """By brute force: each phrase is the longest match that begins where the last ended, or one symbol."""
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in labelled:
+            k += 1
+        n, at = n + 1, at + k
+    return n
+
+
 def test_cross_parsing():
-    a = langid.Automaton(np.array([0, 1, 0, 2]), 3)  # abac
-    for text, phrases in (("abac", 1), ("abacba", 2), ("cc", 2), ("cab", 2)):
-        grid = np.array([["abc".index(c) for c in text]], np.uint16).T
-        assert a.phrases(grid, np.array([len(text)])).tolist() == [phrases]
+    a = langid.Automaton(np.array([0, 1, 0, 2]), 4)  # abac
+    for text, phrases in (("abac", 1), ("abacba", 2), ("cc", 2), ("cab", 2), ("ad", 2), ("dda", 3)):
+        grid = np.array([["abcd".index(c) for c in text]], np.uint16).T
+        assert a.phrases(grid, np.array([len(text)])).tolist() == [phrases] == [phrases_of(text, "abac")]
+
+
+@given(st.text("abcdé ", max_size=80), st.lists(st.text("abcdé? ", max_size=90), min_size=1, max_size=4), st.sampled_from([1, 2, 7, 512]))
+@settings(deadline=None, max_examples=200)
+def test_segments_change_nothing(labelled, texts, segment):
+    plain = lambda t: "".join(" " if c == 0 else chr(c) for c in langid.letters(t).tolist())
+    rates = langid.Parser({"x": labelled, "y": "abcabd"}, segment).rates(texts)
+    for k, t in enumerate(texts):
+        for j, known in enumerate((labelled, "abcabd")):
+            if any(map(str.isalpha, t)):
+                assert rates[k, j] == phrases_of(plain(t), plain(known)) / len(plain(t))
+            else:
+                assert np.isnan(rates[k, j])
+
+
+def test_evenly():
+    assert langid.evenly(["aaaa", "b", "cccc"], 7) == ["aaa", "b", "ccc"] and langid.evenly([], 5) == [] and langid.evenly(["ab"], 5) == ["ab"]
 
 
 def test_warc_reader_frames_and_verifies():
