@@ -7,7 +7,10 @@ The kernels work on the UTF-8 bytes of many texts at once. Words are runs of byt
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -53,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; where none is set (single-machine tests), one is set under /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = "file:///tmp/mnemoframe-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -85,6 +90,14 @@ def dropped(df: DataFrame) -> None:
             hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def give_back() -> None:
+    """At the end of a task: memory that Arrow's and C's allocators hold for later goes back, as Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
