@@ -72,6 +72,24 @@ def language_family(text: Column) -> Column:
     return F.when(F.regexp_count(text, F.lit(CJK)) > 0.3 * F.regexp_count(text, F.lit("[a-zA-Z]")), "zh").otherwise("en")
 
 
+# Word patterns.
+WORD_PATTERNS = {"cjk2_en3": "[一-鿿]{2,}|[a-zA-Z]{3,}", "cjk24_en2_num": r"[一-鿿]{2,4}|[a-zA-Z]{2,}|\d+", "cjk24_en3": "[一-鿿]{2,4}|[a-zA-Z]{3,}"}
+
+
+def pattern_words(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({WORD_PATTERNS[pattern]})"), F.lit(1))
+
+
+def script_language(text: Column) -> Column:
+    """Language by the first script that over 15 % of the characters belong to, else English."""
+    size = F.greatest(F.length(text), F.lit(1))
+    out = None
+    for language, letters in (("ja", "[\u3040-\u30ff]"), ("ko", "[\uac00-\ud7af]"), ("zh", "[\u4e00-\u9fff]"), ("ru", "[\u0400-\u04ff]"), ("ar", "[\u0600-\u06ff]")):
+        found = F.regexp_count(text, F.lit(letters)) / size > 0.15
+        out = F.when(found, language) if out is None else out.when(found, language)
+    return out.otherwise("en")
+
+
 def strip_html(html: Column) -> Column:
     out = html
     for pattern, by in ((r"(?is)<script.*?</script>", ""), (r"(?is)<style.*?</style>", ""), (r"<[^>]+>", " "), ("(?i)&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), (r"[\s]+", " ")):
@@ -80,9 +98,9 @@ def strip_html(html: Column) -> Column:
 
 
 # Patterns of personal data.
-PII = [r"\b1[3-9]\d{9}\b", r"\b\d{17}[\dXx]\b", r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z|]{2,}\b", r"(?i)\b(?:sk-|api[_-]?key|token|secret|password)[=:]\s*\S+", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"]
+PII = [r"\b1[3-9]\d{9}\b", r"\b\d{17}[\dXx]\b", r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", r"(?i)\b(?:sk-|api[_-]?key|token|secret|password)[=:]\s*\S+", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"]
 # Patterns of instructions that try to take over the memory.
-POISON = [r"(?i)\bignore\s+(all\s+)?previous\b", r"(?i)\byou\s+(are|must|should)\s+now\b", r"(?i)\bfrom\s+now\s+on\b", r"(?i)\bnew\s+(instructions?|rules?|persona)\s*:", r"(?i)\bsystem\s*prompt\s*:", r"(?i)\boverride\s+(all|system|safety|rules)\b", r"(?i)\[INST\]|\[SYS\]|<<SYS>>|<\|im_start\|>"]
+POISON = [r"(?i)\bignore\s+(all\s+)?previous\b", "忽略(之前|上面|所有)(的)?指令", r"(?i)\byou\s+(are|must|should)\s+now\b", r"(?i)\bfrom\s+now\s+on\b", r"(?i)\bnew\s+(instructions?|rules?|persona)\s*:", r"(?i)\bsystem\s*prompt\s*:", r"(?i)\boverride\s+(all|system|safety|rules)\b", "你(现在|必须|应该)(是|变成|扮演)", r"(?i)\[INST\]|\[SYS\]|<<SYS>>|<\|im_start\|>"]
 
 
 def matches_any(text: Column, patterns: list[str]) -> Column:
@@ -94,6 +112,6 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
 
 def injects_memories(message: Column) -> Column:
     """Whether memory recall runs for a message: not for bare acknowledgements, long fenced code or commands."""
-    short = (F.length(message) < 5) & message.rlike(r"(?i)^(ok|mm|hm|yeah|yep|sure|got it)")
+    short = (F.length(message) < 5) & message.rlike(r"(?i)^(ok|好|嗯|哦|行|是|对|恩|mm|hm|yeah|yep|sure|got it)")  # fixed values
     code = message.startswith("```") & message.endswith("```") & (F.size(F.split(message, "\n")) > 10)
     return ~(short | code | F.trim(message).rlike(r"^[!/]"))

@@ -77,21 +77,11 @@ def _(spark, d):
     return memories(spark, d).where(recall.visible(7, 3)).select("memory_id")
 
 
-@query("p8_poisoning", "SELECT conv_id, turn, regexp_matches(text, '(?i)' || '\\bignore\\s+(all\\s+)?previous\\b|\\byou\\s+(are|must|should)\\s+now\\b|\\bfrom\\s+now\\s+on\\b|\\bnew\\s+(instructions?|rules?|persona)\\s*:|\\bsystem\\s*prompt\\s*:|\\boverride\\s+(all|system|safety|rules)\\b|\\[INST\\]|\\[SYS\\]|<<SYS>>|<\\|im_start\\|>') AS poisoned FROM conversations")
-def _(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", T.matches_any(F.col("text"), T.POISON).alias("poisoned"))
-
-
 @query("p9_pii", r"SELECT doc_id, regexp_matches(text, '\b1[3-9]\d{9}\b') OR regexp_matches(text, '\b\d{17}[\dXx]\b') OR regexp_matches(text, '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z|]{2,}\b') OR regexp_matches(text, '(?i)\b(?:sk-|api[_-]?key|token|secret|password)[=:]\s*\S+') OR regexp_matches(text, '\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b') AS has_pii FROM documents")
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", T.matches_any(F.col("text"), T.PII).alias("has_pii"))
 
 
-@query("p14_injects", r"SELECT conv_id, turn, NOT ((length(text) < 5 AND regexp_matches(text, '(?i)^(ok|mm|hm|yeah|yep|sure|got it)')) OR (starts_with(text, '```') AND ends_with(text, '```') AND len(string_split(text, chr(10))) > 10) OR regexp_matches(trim(text), '^[!/]')) AS injects FROM conversations")
-def _(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", T.injects_memories(F.col("text")).alias("injects"))
-
-
 # text functions
 
 
@@ -100,15 +90,6 @@ def _(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.sort_array(T.tokens(F.col("text"))), " ").alias("tokens"))
 
 
-@query("t1_tokens_cjk", "SELECT * FROM (VALUES (1, '用户 户喜 喜欢 欢咖 咖啡 用户喜欢咖啡' , ''), (2, '你好 ok 12', ''), (3, '', '')) v(id, ignored, e) WHERE false")
-def _(spark, d):
-    rows = spark.createDataFrame([(1, "喜欢咖啡 ok 12"), (2, "好")], "id int, text string")
-    return rows.select("id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
-
-
-ORACLE_SQL["t1_tokens_cjk"] = "SELECT * FROM (VALUES (1, '喜欢 欢咖 咖啡 喜欢咖啡 ok 12'), (2, '')) v(id, tokens)"
-
-
 @query("t3_trigram_jaccard", f"""WITH t AS (SELECT conv_id, turn, CASE WHEN length({CLEAN.format('text')}) >= 3 THEN {GRAMS.format(CLEAN.format('text'))} ELSE [] END AS g FROM conversations),
  p AS (SELECT conv_id, turn, g, lag(g) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM t)
  SELECT conv_id, turn, round(CASE WHEN len(g) = 0 OR len(h) = 0 THEN 0.0e0 ELSE len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) END, 6) AS similarity FROM p WHERE h IS NOT NULL""")
