@@ -45,6 +45,20 @@ def beta_mean(a: Column, b: Column) -> Column:
     return a / (a + b)
 
 
+def positive_evidence(a: Column, b: Column, difficulty: Column) -> tuple[Column, Column]:
+    """The evidence after a recall that was not corrected; a harder one counts more."""
+    return a + 0.3 + 0.7 * difficulty, b
+
+
+def negative_evidence(a: Column, b: Column, strength: Column) -> tuple[Column, Column]:
+    return a, b + 0.5 + 1.5 * strength
+
+
+def idle_evidence(a: Column, b: Column, days: Column) -> tuple[Column, Column]:
+    """The evidence of a row not recalled for so many days."""
+    return a, b + F.when(days > 1, F.least(F.lit(0.1), 0.02 * F.log2(days))).otherwise(0.0)
+
+
 def beta_variance(a: Column, b: Column) -> Column:
     return a * b / ((a + b) * (a + b) * (a + b + 1))
 

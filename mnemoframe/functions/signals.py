@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemoframe.functions.chunks import bound
+
 # Word lists, patterns and weights of the signals, all up to FIXED_END.
 POSITIVE = ["开心", "哈哈", "牛逼", "太棒", "感谢", "谢谢", "厉害", "完美", "爽", "赞", "舒服", "终于", "happy", "great", "awesome", "thanks", "perfect", "amazing", "lol", "haha", "nice"]
 NEGATIVE = ["烦", "累", "难过", "崩溃", "压力大", "压力好大", "焦虑", "郁闷", "烦死", "受不了", "头疼", "无语", "吐了", "不想干", "不想说", "心情差", "心情很差", "不想活", "难受", "annoyed", "tired", "sad", "overwhelmed", "stressed", "anxious", "frustrated", "exhausted", "depressed"]
@@ -292,15 +294,19 @@ def reply_entropy(reply: Column, before: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """A light suffix stemmer for English: one plural, one participle and one common suffix."""
-    w = F.lower(word)
-    n = F.length(w)
     cut = lambda x, k: F.substring(x, F.lit(1), F.length(x) - k)
-    w = F.when(w.endswith("ies") & (n > 4), F.concat(cut(w, 3), F.lit("i"))).when(w.endswith("sses"), cut(w, 2)).when(w.endswith("s") & ~w.endswith("ss") & ~w.endswith("us"), cut(w, 1)).otherwise(w)
-    n = F.length(w)
-    w = F.when(w.endswith("eed"), w).when(w.endswith("ed") & (n > 4), cut(w, 2)).when(w.endswith("ing") & (n > 5), cut(w, 3)).otherwise(w)
-    n = F.length(w)
-    out = F.when(w.endswith("tion"), F.concat(cut(w, 4), F.lit("t")))
-    for suffix, least in (("ness", 5), ("ment", 5), ("ful", 5), ("ous", 5), ("ive", 5), ("able", 6), ("ible", 6)):
-        out = out.when(w.endswith(suffix) & (n > least), cut(w, len(suffix)))
-    out = out.when(w.endswith("ally") & (n > 6), F.concat(cut(w, 4), F.lit("al"))).when(w.endswith("ly") & (n > 4), cut(w, 2)).otherwise(w)
-    return F.when(F.length(word) < 4, word).otherwise(out)
+
+    def plural(w: Column) -> Column:
+        return F.when(w.endswith("ies") & (F.length(w) > 4), F.concat(cut(w, 3), F.lit("i"))).when(w.endswith("sses"), cut(w, 2)).when(w.endswith("s") & ~w.endswith("ss") & ~w.endswith("us"), cut(w, 1)).otherwise(w)
+
+    def participle(w: Column) -> Column:
+        return F.when(w.endswith("eed"), w).when(w.endswith("ed") & (F.length(w) > 4), cut(w, 2)).when(w.endswith("ing") & (F.length(w) > 5), cut(w, 3)).otherwise(w)
+
+    def suffix(w: Column) -> Column:
+        out = F.when(w.endswith("tion"), F.concat(cut(w, 4), F.lit("t")))
+        for end, least in (("ness", 5), ("ment", 5), ("ful", 5), ("ous", 5), ("ive", 5), ("able", 6), ("ible", 6)):
+            out = out.when(w.endswith(end) & (F.length(w) > least), cut(w, len(end)))
+        return out.when(w.endswith("ally") & (F.length(w) > 6), F.concat(cut(w, 4), F.lit("al"))).when(w.endswith("ly") & (F.length(w) > 4), cut(w, 2)).otherwise(w)
+
+    # each step's value is bound once, so the expression grows with the number of rules, not with their product
+    return F.when(F.length(word) < 4, word).otherwise(bound(F.lower(word), lambda w: bound(plural(w), lambda x: bound(participle(x), suffix))))

@@ -51,7 +51,9 @@ def latin_words(text: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct character trigrams of the lower-case text with single spaces; none under three characters."""
     t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    return bound(t, lambda t: F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substr(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>")))
+    # the characters are taken apart once: a substring by position would walk the text from its start each time
+    three = lambda c, i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))
+    return bound(F.split(t, ""), lambda c: F.when(F.size(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: three(c, i)))).otherwise(F.array().cast("array<string>")))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -2,9 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.sources.shared import cut
+
+# Weights of relation types.
+TYPE_WEIGHTS = {"caused_by": 1.5, "depends_on": 1.3, "contradicts": 0.5, "uses": 1.0, "works_at": 1.0, "knows": 0.8, "part_of": 0.9, "related_to": 0.7, "follows": 0.6, "prefers_over": 1.1, "triggers": 1.2, "learned_from": 1.3}
+
+
+def edge_weight(default: float = 0.8) -> Column:
+    """Weight times the type's weight times the pull of recent edges, of (type, weight, age_days)."""
+    by_type = F.lit(default)
+    for k, v in TYPE_WEIGHTS.items():
+        by_type = F.when(F.col("type") == k, v).otherwise(by_type)
+    return F.coalesce("weight", F.lit(1.0)) * by_type * F.greatest(F.lit(0.3), F.exp(-F.col("age_days") / 90))
+
+
+def weighted_hops(edges: DataFrame, seeds: DataFrame, hops: int = 2, most: int = 10) -> DataFrame:
+    """(node, hop, weight): nodes over valid undirected edges, the heaviest edges first, at most ``most`` over all hops.
+
+    Every hop keeps what is left of ``most`` by weight, so frontiers are bounded. Ties go by node.
+    """
+    live = edges.where("not invalid").withColumn("w", edge_weight())
+    both = live.select("source", "target", "w").unionAll(live.select(F.col("target"), F.col("source"), "w"))
+    seen = seeds.select("node").distinct().select("node", F.lit(0).alias("hop"), F.lit(0.0).alias("weight"))
+    front, left = seen, most
+    for hop in range(1, hops + 1):
+        near = both.join(F.broadcast(front.select(F.col("node").alias("source"))), "source").groupBy(F.col("target").alias("node")).agg(F.max("w").alias("weight"))  # a frontier has at most ``most`` rows
+        front = cut(near.join(seen.select("node"), "node", "left_anti").orderBy(F.desc("weight"), "node").limit(left).select("node", F.lit(hop).alias("hop"), "weight"))
+        left -= front.count()
+        seen = seen.unionByName(front)
+        if left <= 0:
+            break
+    return seen.where("hop > 0")
+
+
+def mentioning(index: DataFrame, nodes: DataFrame, score: Column, most: int) -> DataFrame:
+    """(memory_id, score): memories of an inverted index (name, memory_id) by the summed score of their entities."""
+    hits = index.join(nodes.select(F.col("node").alias("name"), score.alias("s")), "name")
+    return hits.groupBy("memory_id").agg(F.round(F.sum("s"), 6).alias("score")).orderBy(F.desc("score"), "memory_id").limit(most)
+
+
+def entity_rank(entities: DataFrame) -> DataFrame:
+    """(name, rank): mentions, fading with 30 days of idleness, more for active ones."""
+    mass = F.col("mentions") * F.exp(-F.col("idle_days") / 30) * (1 + 0.5 * F.coalesce("activation", F.lit(0.0)))
+    return entities.where("not invalid").select("name", F.round(F.greatest(F.lit(0.01), mass), 6).alias("rank"))
+
+
+def causal_chain(edges: DataFrame, seeds: DataFrame, types: tuple[str, ...], up: bool, hops: int = 3) -> DataFrame:
+    """(node, hop, strength): nodes up (to causes) or down valid edges of some types; strength is the best edge's weight over the hop."""
+    live = edges.where("not invalid").where(F.col("type").isin(*types))
+    step = live.select(F.col("target" if up else "source").alias("here"), F.col("source" if up else "target").alias("there"), "weight")
+    seen = seeds.select("node").distinct().select("node", F.lit(0).alias("hop"), F.lit(0.0).alias("strength"))
+    front = seen
+    for hop in range(1, hops + 1):
+        reached = front.join(step, F.col("node") == F.col("here")).groupBy("there").agg((F.max("weight") / hop).alias("strength")).select(F.col("there").alias("node"), F.lit(hop).alias("hop"), "strength")
+        front = cut(reached.join(seen.select("node"), "node", "left_anti"))
+        seen = seen.unionByName(front)
+    return seen.where("hop > 0")
+
+
+def missing_causes(mentions: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """(source, target): cause and effect entities of one memory without an edge between them yet. mentions: (memory_id, cause, effect)."""
+    pairs = mentions.where("cause <> effect").groupBy(F.col("cause").alias("source"), F.col("effect").alias("target")).agg(F.count("*").alias("n"))
+    return pairs.join(edges.select("source", "target").distinct(), ["source", "target"], "left_anti").orderBy(F.desc("n"), "source", "target").limit(most)
+
+
+def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """(node, component) of (a, b) edges: the least node reachable. Labels fall to the least of the neighbours', then to their
+    label's label; each round is stored, and the loop ends when none changed."""
+    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
+    now = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
+    for _ in range(most_rounds):
+        heard = both.join(now, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        least = now.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        jump = now.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        following = cut(least.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        done = not following.where("old <> label").take(1)
+        now = following.select("node", "label")
+        if done:
+            return now.select("node", F.col("label").alias("component"))
+    raise RuntimeError("components did not settle")
+
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(node, hop): nodes reached over undirected edges, each with its least hop."""
@@ -17,12 +97,14 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 3) -> DataFrame:
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 20, store_every: int = 5) -> DataFrame:
     """(node, rank): teleport to the seeds, out-weights normalised, mass of nodes without edges lost."""
     share = edges.join(edges.groupBy("source").agg(F.sum("weight").alias("total")), "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share"))
     base = seeds.select("node").distinct().withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1)))).select("node", (F.lit(1.0) / F.col("n")).alias("rank"))
     now = base
-    for _ in range(rounds):
+    for step in range(rounds):
+        if step and step % store_every == 0:
+            now = cut(now)
         walked = now.join(share, F.col("node") == F.col("source")).select(F.col("target").alias("node"), ((1 - alpha) * F.col("rank") * F.col("share")).alias("rank"))
         now = walked.unionByName(base.select("node", (alpha * F.col("rank")).alias("rank"))).groupBy("node").agg(F.sum("rank").alias("rank"))
     return now
@@ -40,14 +122,3 @@ def spreading(edges: DataFrame, seeds: DataFrame, rounds: int = 3, decay: float
         spread = total.where(F.col("activation") >= least).join(both, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (decay * F.col("activation") * F.col("weight")).alias("activation"))
         total = total.unionByName(spread).groupBy("node").agg(F.sum("activation").alias("activation"))
     return total
-
-
-def spreading_waves(edges: DataFrame, seeds: DataFrame, rounds: int = 2, decay: float = 0.5) -> DataFrame:
-    """(node, activation): as ``spreading``, but every round each node passes on only what it got last."""
-    both = _undirected(edges)
-    wave = seeds.select("node").distinct().withColumn("activation", F.lit(1.0))
-    total = wave
-    for _ in range(rounds):
-        wave = wave.join(both, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg((decay * F.sum(F.col("activation") * F.col("weight"))).alias("activation"))
-        total = total.unionByName(wave)
-    return total.groupBy("node").agg(F.sum("activation").alias("activation"))

@@ -5,10 +5,13 @@ All operators return DataFrames. Ties are broken by id; rows with a null in a co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def find_by_content(memories: DataFrame, content: str) -> DataFrame:
@@ -53,22 +56,34 @@ def superseded(facts: DataFrame, open_predicates: tuple[str, ...] = OPEN_PREDICA
 
     In order of ts and fact_id, by subject and predicate: an exact repetition of an open fact is skipped; an object less than half
     as long as an open one of no less confidence is skipped; facts of open predicates are added beside the others; any other fact
-    closes the open one. State of a key is its open objects, which are one for exclusive predicates; for open predicates the first
-    write of each object counts.
+    closes the open one. Of an open predicate the first write of each object counts, and its distinct objects are held.
     """
-    key = Window.partitionBy("subject", "predicate").orderBy("ts", "fact_id")
-    several = F.col("predicate").isin(*open_predicates)
-    first = F.row_number().over(Window.partitionBy("subject", "predicate", "object").orderBy("ts", "fact_id")) == 1
-    # the open fact only changes with a written one: a run over the key's history in its order, one row held at a time
-    rows = facts.withColumn("_several", several).withColumn("_first", first)
-    history = F.collect_list(F.struct("object", "confidence")).over(key)
-    state = F.aggregate(
-        history, F.struct(F.lit(None).cast("string").alias("object"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("written")),
-        lambda acc, x: F.when(acc["object"].isNull() | ((x["object"] != acc["object"]) & ~((F.length(x["object"]) < 0.5 * F.length(acc["object"])) & (acc["confidence"] >= x["confidence"]))), F.struct(x["object"].alias("object"), x["confidence"].alias("confidence"), F.lit(True).alias("written"))).otherwise(F.struct(acc["object"].alias("object"), acc["confidence"].alias("confidence"), F.lit(False).alias("written"))),
-    )
-    told = rows.withColumn("written", F.when(F.col("_several"), F.col("_first")).otherwise(state["written"]))
-    following = F.min(F.when(F.col("written") & ~F.col("_several"), F.col("ts"))).over(key.rowsBetween(1, Window.unboundedFollowing))
-    return told.withColumn("valid_until", F.when(F.col("written") & ~F.col("_several"), following)).drop("_several", "_first")
+    columns = facts.columns
+    at = [columns.index(c) for c in ("subject", "predicate", "object", "confidence")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, trust, seen = None, None, 0.0, set()
+        for batch in batches:
+            written = []
+            for subject, predicate, value, confidence in zip(*(batch.column(k).to_pylist() for k in at)):
+                if (subject, predicate) != key:
+                    key, held, seen = (subject, predicate), None, set()
+                if predicate in open_predicates:
+                    keep = value not in seen
+                    seen.add(value)
+                else:
+                    keep = held is None or (value is not None and value != held and not (len(value) < 0.5 * len(held) and (trust or 0) >= (confidence or 0)))
+                    if keep:
+                        held, trust = value, confidence
+                written.append(keep)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(written, pa.bool_())], names=[*columns, "written"])
+
+    # one key's writes pass in their order with only its state held: a history of any length needs no more memory
+    ordered = facts.repartition("subject", "predicate").sortWithinPartitions("subject", "predicate", "ts", "fact_id")
+    told = ordered.mapInArrow(run, StructType([*facts.schema.fields, StructField("written", BooleanType())]))
+    closes = F.col("written") & ~F.col("predicate").isin(*open_predicates)
+    following = F.lead("ts").over(Window.partitionBy("subject", "predicate", closes).orderBy("ts", "fact_id"))
+    return told.withColumn("valid_until", F.when(closes, following))
 
 
 def trimmed_chat(turns: DataFrame, by: str, order: str, keep: int = 100, user_chars: int = 1000, other_chars: int = 2000) -> DataFrame:

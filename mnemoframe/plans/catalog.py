@@ -268,21 +268,15 @@ PPR_STEP = "SELECT node, sum(rank) AS rank FROM (SELECT target AS node, 0.85e0 *
 
 
 @query("g4_pagerank", f"""WITH {EDGES}, s AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM edges), p0 AS (SELECT 'c1' AS node, 0.5e0 AS rank UNION ALL SELECT 'c2', 0.5e0),
- p1 AS ({PPR_STEP.format('p0')}), p2 AS ({PPR_STEP.format('p1')}), p3 AS ({PPR_STEP.format('p2')}) SELECT node, round(rank, 6) AS rank FROM p3""")
+ p1 AS ({PPR_STEP.format('p0')}), p2 AS ({PPR_STEP.format('p1')}), p3 AS ({PPR_STEP.format('p2')}), p4 AS ({PPR_STEP.format('p3')}) SELECT node, round(rank, 6) AS rank FROM p4""")
 def _(spark, d):
     return graph.personalized_pagerank(_edges(spark, d), _seeds(spark)).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("g6_spreading", f"""WITH {EDGES}, b AS (SELECT * FROM edges UNION ALL SELECT target, source, weight FROM edges), w0 AS (SELECT 'c1' AS node, 1e0 AS a UNION ALL SELECT 'c2', 1e0), w1 AS (SELECT target AS node, 0.5e0 * sum(a * weight) AS a FROM w0 JOIN b ON node = source GROUP BY 1),
- w2 AS (SELECT target AS node, 0.5e0 * sum(a * weight) AS a FROM w1 JOIN b ON node = source GROUP BY 1) SELECT node, round(sum(a), 6) AS activation FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2) GROUP BY node""")
-def _(spark, d):
-    return graph.spreading_waves(_edges(spark, d), _seeds(spark)).select("node", F.round("activation", 6).alias("activation"))
-
-
 SPREAD_STEP = "SELECT node, sum(a) AS a FROM (SELECT node, a FROM {0} UNION ALL SELECT target, 0.5e0 * a * weight FROM {0} JOIN b ON node = source WHERE a >= 0.01e0) GROUP BY node"
 
 
-@query("g6_spreading_accumulated", f"""WITH {EDGES}, b AS (SELECT * FROM edges UNION ALL SELECT target, source, weight FROM edges), a0 AS (SELECT 'c1' AS node, 1e0 AS a UNION ALL SELECT 'c2', 1e0),
+@query("g6_spreading", f"""WITH {EDGES}, b AS (SELECT * FROM edges UNION ALL SELECT target, source, weight FROM edges), a0 AS (SELECT 'c1' AS node, 1e0 AS a UNION ALL SELECT 'c2', 1e0),
  a1 AS ({SPREAD_STEP.format('a0')}), a2 AS ({SPREAD_STEP.format('a1')}), a3 AS ({SPREAD_STEP.format('a2')}) SELECT node, round(a, 6) AS activation FROM a3""")
 def _(spark, d):
     return graph.spreading(_edges(spark, d), _seeds(spark)).select("node", F.round("activation", 6).alias("activation"))
@@ -380,7 +374,7 @@ def _(spark, d):
 
 
 @query("n2_evict", f"""WITH {MEM}, s AS (SELECT memory_id, scope, confidence * (1 + recall_count) / (1 + age_days / 30) AS score FROM mem), r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, memory_id) AS k FROM s)
- SELECT memory_id, scope FROM r WHERE score < 0.3e0 * (SELECT quantile_cont(score, 0.5) FROM s) AND k > 2""")
+ SELECT memory_id, scope FROM r WHERE score < 0.3e0 * (SELECT list_sort(list(score))[1 + count(*) // 2] FROM s) AND k > 2""")
 def _(spark, d):
     return lifecycle.evict(memories(spark, d))
 
@@ -390,11 +384,14 @@ def _(spark, d):
     return lifecycle.audit(memories(spark, d))
 
 
-@query("j4_similar_turns", f"""WITH t AS (SELECT conv_id * 100 + turn AS id, {CLEAN.format('text')} AS t FROM conversations), g AS (SELECT id, list_sort({GRAMS.format('t')}) AS g FROM t WHERE length(t) >= 3), c AS (SELECT g, min(id) AS id FROM g GROUP BY g),
+@query("j4_similar_turns", f"""WITH t AS (SELECT conv_id * 100 + turn AS id, {CLEAN.format('text')} AS t FROM conversations UNION ALL SELECT -conv_id * 100 - turn - 1, {CLEAN.format("text || ' that is all'")} FROM conversations WHERE conv_id % 10 = 0), g AS (SELECT id, list_sort({GRAMS.format('t')}) AS g FROM t WHERE length(t) >= 3), c AS (SELECT g, min(id) AS id FROM g GROUP BY g),
  p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS k, len(a.g) + len(b.g) AS n FROM c a JOIN c b ON a.id < b.id AND 10 * least(len(a.g), len(b.g)) >= 7 * greatest(len(a.g), len(b.g))) SELECT a, b, round(k / (n - k), 6) AS similarity FROM p WHERE round(k / (n - k), 6) >= 0.7""")
 def _(spark, d):
-    rows = read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("memory_id"), F.col("text").alias("content"))
-    return lifecycle.similar_pairs(rows)
+    """The turns and edited copies of some, as few turns resemble each other on their own."""
+    turns = read(spark, d, "conversations")
+    rows = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("memory_id"), F.col("text").alias("content"))
+    edited = turns.where("conv_id % 10 = 0").select((-F.col("conv_id") * 100 - F.col("turn") - 1).alias("memory_id"), F.concat("text", F.lit(" that is all")).alias("content"))
+    return lifecycle.similar_pairs(rows.unionAll(edited))
 
 
 # relational surface
