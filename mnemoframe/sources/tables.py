@@ -25,9 +25,13 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_log(spark: SparkSession, path: str, min_chars: int = 10, max_chars: int = 300, min_turns: int = 2) -> DataFrame:
-    """JSON lines of type ``message``: (session, position, role, content); content may be a string or an array of text parts."""
-    schema = "type string, message struct<role:string,content:string>"
-    raw = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("session"), F.col("_metadata.file_block_start").alias("position"))
+    """JSON lines of type ``message``: (session, position, role, content); content may be a string or an array of text parts.
+
+    A session is a file, read whole, and position is the line's number in it from 0, so the order of turns stays. Lines that are no
+    JSON object, short messages and sessions of fewer than ``min_turns`` of them are left out.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session"), F.posexplode(F.split("value", "\n")).alias("position", "line"))
+    raw = files.select("session", "position", F.from_json("line", "type string, message struct<role:string,content:string>").alias("x")).select("session", "position", "x.type", "x.message")
     parts = F.from_json("message.content", "array<struct<text:string>>")
     content = F.coalesce(F.array_join(F.transform(F.when(F.col("message.content").startswith("["), parts), lambda x: x["text"]), " "), F.col("message.content"))
     rows = raw.where("type = 'message'").select("session", "position", "message.role", F.substring(F.trim(content), 1, max_chars).alias("content")).where(F.length("content") >= min_chars)
