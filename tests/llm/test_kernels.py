@@ -57,6 +57,32 @@ def test_measure():
     assert m["longest_repeat"].tolist()[0] == 10
 
 
+@given(st.lists(st.text("ab字𝄞 ", max_size=60), min_size=1, max_size=4))
+@settings(deadline=None)
+def test_unspaced_text_against_brute_force(texts):
+    texts = [t + "字" * 3 + "abcdefghijklmnopqrstuvwxyzéü字母0123456789𝄞!?" * 2 for t in texts]
+    data, offsets = text_buffer(pa.array(texts, pa.string()))
+    w = Words(data, offsets, 0, len(texts))
+    m = repetition.measure(w, texts, 2)
+    for k, text in enumerate(texts):
+        units = [u for x in text.split(" ") if x for u in (x if len(x) > repetition.LONG_WORD else [x])]
+        size = [u for x in text.split(" ") if x for u in ([1] * len(x) if len(x) > repetition.LONG_WORD else [6])]
+        found = longest(units)
+        words = [sum(size[i : i + n]) // 6 for i, n in enumerate(found)]
+        inside = {j for i, n in enumerate(found) if words[i] >= 2 for j in range(i, i + n)}
+        assert m["longest_repeat"][k] == max(words) and m["covered_chars"][k] == sum(len(units[j]) for j in inside)
+
+
+def test_repeats_without_spaces():
+    rng = np.random.default_rng(4)
+    prose = lambda n: "".join(chr(0x4E00 + c) for c in rng.integers(0, 5000, n))
+    block = prose(300)
+    texts = [prose(500) + block + prose(100) + block, prose(1200)]
+    data, offsets = text_buffer(pa.array(texts))
+    m = repetition.measure(Words(data, offsets, 0, 2), texts, 8)
+    assert m["covered_chars"].tolist() == [600, 0] and m["longest_repeat"].tolist() == [50, 0]
+
+
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=25))
 @settings(deadline=None)
 def test_plan_holds_every_piece(counts):
