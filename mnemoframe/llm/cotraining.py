@@ -1,6 +1,7 @@
 """Quality classifier by co-training of two views.
 
-View one sees the text, view two the page metadata (language, source, stated length). Both begin with labelled rows; in every
+View one sees the text (surface measures, and its words in hash classes), view two the page metadata (language, source, stated
+length). Both begin with labelled rows of the ids that may be learned from; in every
 round each labels the pool's rows on which it is most confident and hands them to the other as training rows. The views are then
 calibrated (Platt) on labelled rows that neither has seen, and a logistic regression on the two calibrated logits combines them.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,24 @@ from pyspark.sql import functions as F
 
 from mnemoframe.llm.learners import Logistic, sigmoid
 
-N_TEXT = 13
+SURFACE = 13
+WORD_CLASSES = 128
+N_TEXT = SURFACE + WORD_CLASSES
 SOURCES = 16
-SCHEMA = "doc_id long, text_score double, meta_score double, score double, kept boolean"
+SCHEMA = "doc_id long, held_out boolean, text_score double, meta_score double, score double, kept boolean"
 
 
-def text_features(text: str) -> list[float]:
+@lru_cache(1 << 16)
+def word_class(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "replace")) % WORD_CLASSES
+
+
+def text_features(text: str) -> np.ndarray:
+    """Surface measures, then the root of each word class's share of the words."""
     words = text.split()
     n, chars = len(words), len(text)
     if not n:
-        return [0.0] * N_TEXT
+        return np.zeros(N_TEXT)
     lines = [x for x in text.split("\n") if x.strip()]
     counts = Counter(words)
     distinct = len(counts)
@@ -43,10 +53,12 @@ def text_features(text: str) -> list[float]:
     symbols = sum(map(text.count, "#*$%&|<>{}\\^~="))
     upper = sum(map(str.isupper, words))
     digits = sum(map(text.count, "0123456789"))
-    return [
+    surface = [
         np.log(n), chars / n, distinct / n ** 0.8, same / n, letters / n, 100 * symbols / chars, upper / n, 100 * digits / chars, 100 * text.count("!") / chars,
         1 - len(set(lines)) / len(lines), np.log(n / len(lines)), max(counts.values()) / n, 100 * (text.count(".") + text.count(",")) / chars,
     ]
+    classes = np.bincount(list(map(word_class, counts)), weights=list(counts.values()), minlength=WORD_CLASSES)
+    return np.concatenate([surface, np.sqrt(classes / n)])
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
@@ -98,12 +110,13 @@ def _measured(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return x, z
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 8_000, pool_rows: int = 4_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: str = "true", labelled_rows: int = 8_000, pool_rows: int = 4_000) -> Model:
+    """Learns from the ids for which ``train`` holds alone; rows of other ids are neither labelled rows nor in the pool."""
     rank = F.xxhash64(F.col("doc_id"), F.lit(29))
-    known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("double").alias("label"))
+    known = labels.where(train).where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("double").alias("label"))
     picked = known.orderBy(rank, "doc_id", "label").limit(labelled_rows)
     # rows without a label, those of least hash: one more than the labelled can take away
-    pool = docs.select("doc_id").where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(rank, "doc_id").limit(pool_rows).select("doc_id", F.lit(None).cast("double").alias("label"))
+    pool = docs.select("doc_id").where(train).where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(rank, "doc_id").limit(pool_rows).select("doc_id", F.lit(None).cast("double").alias("label"))
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     rows = docs.select(*columns).join(F.broadcast(picked.unionAll(pool)), "doc_id").select(*columns, "label")
 
@@ -129,13 +142,13 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 8_000, pool_row
     return Model(text, meta, platt, Logistic(logits, ly[held]), float(ly.mean()))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled_rows: int = 8_000, pool_rows: int = 4_000) -> DataFrame:
-    """One row per document: the views' calibrated scores, the combined score, kept (score of ``threshold`` or more)."""
-    model = fit(docs, labels, labelled_rows, pool_rows)
+def classify(docs: DataFrame, labels: DataFrame, train: str = "true", held_out: str = "false", threshold: float = 0.5, labelled_rows: int = 8_000, pool_rows: int = 4_000) -> DataFrame:
+    """One row per document: held_out, the views' calibrated scores, the combined score, kept (score of ``threshold`` or more)."""
+    model = fit(docs, labels, train, labelled_rows, pool_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, m, s = model(*_measured(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(t), pa.array(m), pa.array(s), pa.array(s >= threshold)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(t), pa.array(m), pa.array(s), pa.array(s >= threshold)], names=["doc_id", "held_out", "text_score", "meta_score", "score", "kept"])
 
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "text", "lang", "source", "n_chars").mapInArrow(run, SCHEMA)

@@ -66,7 +66,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), f"{ID_CLASS.format(5)} <> 0", f"{ID_CLASS.format(5)} = 0")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
