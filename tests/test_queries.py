@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from mnemoframe.plans import catalog, dialogue, insight, network, signals, store  # noqa: F401
+from mnemoframe.plans import catalog, dialogue, insight, network, signals, store, wording  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
