@@ -5,7 +5,7 @@ suffixes. The larger of a suffix's two neighbour values is the value of the deep
 length of the longest repeated substring beginning there; the union of those of at least ``min_repeat_words`` words is the union
 of all occurrences of maximal repeats of that length. Its share of the text's word characters and the longest repeat are limited.
 Words of more than ``LONG_WORD`` characters, as in text without spaces, are taken apart: each of their characters begins a suffix and
-counts as 1 / ``CHARS_A_WORD`` of a word.
+counts as 1 / ``CHARS_A_WORD`` of a word; such a character never equals a word of its own.
 
 Defined cases: null and empty texts have zero counts and fail the base rule; equal rows get equal rows; an empty table gives an
 empty result; other columns are ignored, whatever their names. A text longer than the chunk size is handled alone, whole.

@@ -65,7 +65,7 @@ def test_unspaced_text_against_brute_force(texts):
     w = Words(data, offsets, 0, len(texts))
     m = repetition.measure(w, texts, 2)
     for k, text in enumerate(texts):
-        units = [u for x in text.split(" ") if x for u in (x if len(x) > repetition.LONG_WORD else [x])]
+        units = [u for x in text.split(" ") if x for u in ([(c,) for c in x] if len(x) > repetition.LONG_WORD else [x])]  # a character of a long word is no word
         size = [u for x in text.split(" ") if x for u in ([1] * len(x) if len(x) > repetition.LONG_WORD else [6])]
         found = longest(units)
         words = [sum(size[i : i + n]) // 6 for i, n in enumerate(found)]
