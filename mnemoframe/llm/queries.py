@@ -1,11 +1,11 @@
-"""The ten operators as queries over the driver's tables, with oracle SQL where SQL can express them."""
+"""The numbered operators as queries over the driver's tables, with oracle SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import cotraining, decontamination, langid, linededup, njaccard, packing, repetition, toxicity, urlfilter, warc
+from mnemoframe.llm import cotraining, decontamination, langid, linededup, njaccard, packing, repetition, toxicity, urlfilter, warc, whitening
 from mnemoframe.llm.common import table
 
 ID_CLASS = "pmod(crc32(cast(doc_id as string)), {})"
@@ -73,6 +73,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), f"{ID_CLASS.format(3)} <> 1", f"{ID_CLASS.format(3)} = 1")
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1,
     "op2_quality_rules": op2,
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_url_filters": op8,
     "op9_quality_classifier": op9,
     "op10_toxicity": op10,
+    "op13_embedding_whitening": op13,
 }
 
 OP6_SQL = """
