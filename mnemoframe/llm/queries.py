@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import cotraining, decontamination, langid, linededup, njaccard, packing, repetition, toxicity, urlfilter, warc, whitening
+from mnemoframe.llm import cotraining, decontamination, langid, linededup, njaccard, packing, repetition, secretscan, toxicity, urlfilter, warc, whitening
 from mnemoframe.llm.common import table
 
 ID_CLASS = "pmod(crc32(cast(doc_id as string)), {})"
@@ -73,6 +73,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), f"{ID_CLASS.format(3)} <> 1", f"{ID_CLASS.format(3)} = 1")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(secretscan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_url_filters": op8,
     "op9_quality_classifier": op9,
     "op10_toxicity": op10,
+    "op12_secret_scan": op12,
     "op13_embedding_whitening": op13,
 }
 
@@ -133,4 +138,22 @@ g AS (SELECT page_id, url, fetched_at, n_captures, count(*) FILTER (list = 'bloc
 SELECT *, n_block > 0 AND allow_length < block_length AS blocked FROM g
 """
 
-ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_url_filters": OP8_SQL}
+
+
+def op12_sql() -> str:
+    """Each text with a match is cut into the rule's matches and single characters, whose running length says where a match begins."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    cut = "SELECT doc_id, {k} AS k, {kind} AS kind, piece, {group} AS value, pos FROM (SELECT doc_id, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS pos FROM (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS i FROM (SELECT doc_id, regexp_extract_all(text, {cutter}) AS ps FROM d WHERE regexp_matches(text, {pattern})))) WHERE length(piece) > 1"
+    rules = [cut.format(k=k, kind=quoted(r.kind), cutter=quoted(f"(?:{r.pattern})|(?s:.)"), pattern=quoted(r.pattern), group=f"regexp_extract(piece, {quoted(r.pattern)}, {r.group})") + f" AND length(value) >= {r.least}" for k, r in enumerate(secretscan.RULES)]
+    base = ", ".join(quoted(r.kind) for r in secretscan.BASE_RULES)
+    counts = ", ".join(f"count(s.kind) FILTER (s.kind = {quoted(r.kind)}) AS n_{r.kind}" for r in secretscan.BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(rules)}),
+l AS (SELECT doc_id, kind, k, pos, kind || ':' || pos || ':' || (pos + length(piece)) AS span FROM s)
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY pos, k) FILTER (s.kind IN ({base})), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY pos, k), '') AS spans
+FROM d LEFT JOIN l s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_url_filters": OP8_SQL, "op12_secret_scan": op12_sql()}
