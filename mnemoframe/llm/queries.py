@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import cotraining, decontamination, langid, linededup, njaccard, packing, repetition, secretscan, toxicity, urlfilter, warc, whitening
+from mnemoframe.llm import conversation, cotraining, decontamination, langid, linededup, njaccard, packing, repetition, secretscan, toxicity, urlfilter, warc, whitening
 from mnemoframe.llm.common import table
 
 ID_CLASS = "pmod(crc32(cast(doc_id as string)), {})"
@@ -73,6 +73,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), f"{ID_CLASS.format(3)} <> 1", f"{ID_CLASS.format(3)} = 1")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation.repair_report(rows, conversation.damaged(rows))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_url_filters": op8,
     "op9_quality_classifier": op9,
     "op10_toxicity": op10,
+    "op11_conversation_repair": op11,
     "op12_secret_scan": op12,
     "op13_embedding_whitening": op13,
 }
@@ -140,6 +146,40 @@ SELECT *, n_block > 0 AND allow_length < block_length AS blocked FROM g
 
 
 
+def op11_sql() -> str:
+    """The least (cost, audit) of each state, row by row, in a recursion; DuckDB has no crc32, so its table is made of the polynomial."""
+    crc = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda j: ord(k[j])::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))"
+    table = "list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    more = lambda s, cost, letter, line="''": f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'o': {s}.o || {line}}} END"
+    least = lambda *xs: f"list_sort(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL))[1]"
+    insert = lambda role, *states: [more(s, 3, "I", f"chr(10) || '{role}:'") for s in states]
+    keep = lambda sign, s: f"CASE WHEN lower(code) = '{sign}' THEN {more(s, 'late', 'K', 'chr(10) || r || chr(58) || t')} END"
+    rerole = lambda role, s: f"CASE WHEN code <> 'x' THEN {more(s, '3 + late', 'R', f"chr(10) || '{role}:' || t")} END"
+    gone = lambda s: more(s, 4, "D")
+    closed = lambda source: f"SELECT *, {least('s3', *insert('assistant', 'f2'))} AS f3 FROM (SELECT *, {least('s2', *insert('user', 's0', 's1', 's3'))} AS f2 FROM {source})"
+    start = "{'c': 0, 'a': '', 'o': ''}"
+    none = "NULL::STRUCT(c INTEGER, a VARCHAR, o VARCHAR)"
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t0, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+c AS (SELECT conv_id, turn, r, t0, {crc} % 20 AS deal FROM k, (SELECT {table} AS t)),
+d AS (SELECT conv_id, turn, CASE WHEN deal = 4 THEN 'user' ELSE r END AS r, CASE WHEN deal = 1 THEN '' WHEN deal = 2 THEN regexp_replace(t0, '[.!?]', '', 'g') ELSE t0 END AS t, unnest(CASE WHEN deal = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE deal <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(t), copy) AS i FROM d),
+f AS (SELECT *, NOT regexp_matches(t, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, r, t ORDER BY i) > 1 AS again,
+  regexp_extract(t, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut, lag(left(r, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(r, 1) AS pair FROM n),
+e AS (SELECT *, CASE WHEN blank OR again THEN 'x' ELSE left(r, 1) END AS code, CASE WHEN NOT blank AND NOT again AND cut THEN 3 ELSE 0 END AS late FROM f),
+g AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (late = 3) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY conv_id),
+p AS (SELECT conv_id, 0::BIGINT AS at, {start} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM g
+  UNION ALL SELECT conv_id, i, {gone("s0")}, {least(gone("s1"), keep("s", "s0"))}, {least(gone("f2"), *[x for s in ("s0", "s1", "f3") for x in (keep("u", s), rerole("user", s))])}, {least(gone("f3"), keep("a", "f2"), rerole("assistant", "f2"))}
+  FROM ({closed("(SELECT p.*, e.i, e.r, e.t, e.code, e.late FROM p JOIN e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.i = p.at + 1)")})),
+w AS (SELECT p.*, g.* EXCLUDE (conv_id) FROM p JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.rows = p.at),
+b AS (SELECT * EXCLUDE (s0, s1, s2, s3, f2, f3), {least("s0", "f3")} AS b FROM ({closed("w")}))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.b.c, 0) AS cost,
+  coalesce(b.b.a, '') AS audit, sha256(coalesce(substring(b.b.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op12_sql() -> str:
     """Each text with a match is cut into the rule's matches and single characters, whose running length says where a match begins."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
@@ -156,4 +196,4 @@ FROM d LEFT JOIN l s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
-ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_url_filters": OP8_SQL, "op12_secret_scan": op12_sql()}
+ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_url_filters": OP8_SQL, "op11_conversation_repair": op11_sql(), "op12_secret_scan": op12_sql()}
