@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from mnemoframe.operators.mentions import occurrences
+
 
 def find_by_content(memories: DataFrame, content: str) -> DataFrame:
     """The live row of least id with exactly this content."""
@@ -154,11 +156,9 @@ def routed(memories: DataFrame, user_id: int, max_age: float, words: list[str],
 
 
 def triggered(messages: DataFrame, triggers: DataFrame, most: int | None = None) -> DataFrame:
-    """(message id, trigger_id): triggers of which a keyword stands in the message, by priority. triggers: (trigger_id, keyword, priority, more columns).
-
-    The trigger table is small and hand-written; Spark broadcasts it only below its own size limit.
-    """
-    hit = messages.join(triggers, F.contains(F.lower("text"), F.lower("keyword"))).select("id", "trigger_id", "priority").distinct()
+    """(message id, trigger_id): triggers of which a keyword stands in the message, by priority. triggers: (trigger_id, keyword, priority, more columns)."""
+    keys = triggers.select("trigger_id", "priority", F.lower("keyword").alias("name"))
+    hit = occurrences(messages.select("id", "text"), keys.select("name"), any_case=True).join(keys, "name").select("id", "trigger_id", "priority").distinct()
     if most is None:
         return hit.select("id", "trigger_id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("priority"), "trigger_id"))
