@@ -27,6 +27,12 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(all_tokens(text))
 
 
+def bigram_tokens(text: Column) -> Column:
+    """``tokens`` and, after each but the last, it and the next joined by an underscore."""
+    each = lambda t: F.flatten(F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.when(i < F.size(t) - 1, F.array(F.get(t, i), F.concat_ws("_", F.get(t, i), F.get(t, i + 1)))).otherwise(F.array(F.get(t, i)))))
+    return bound(tokens(text), lambda t: F.when(F.size(t) > 0, each(t)).otherwise(F.array().cast("array<string>")))
+
+
 def all_tokens(text: Column) -> Column:
     """The tokens of ``tokens`` with their repetitions."""
     windows = F.flatten(F.transform(_cjk_runs(text), lambda s: F.concat(_windows(s, 2), F.when(F.length(s).between(3, 4), F.array(s)).otherwise(F.array().cast("array<string>")))))
@@ -56,13 +62,17 @@ def trigrams(text: Column) -> Column:
     return bound(F.split(t, ""), lambda c: F.when(F.size(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: three(c, i)))).otherwise(F.array().cast("array<string>")))
 
 
+def _sizes(a: Column, b: Column, f) -> Column:
+    """``f`` of the sizes of a, b and what they share; each argument is computed once."""
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda x: bound(F.struct(F.size(x["a"]).alias("a"), F.size(x["b"]).alias("b"), F.size(F.array_intersect(x["a"], x["b"])).alias("both")), lambda n: f(n["a"], n["b"], n["both"])))
+
+
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    return _sizes(a, b, lambda m, n, both: F.when((m == 0) | (n == 0), F.lit(0.0)).otherwise(both / (m + n - both)))
 
 
 def dice(a: Column, b: Column) -> Column:
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(0.0)).otherwise(2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
+    return _sizes(a, b, lambda m, n, both: F.when(m + n == 0, F.lit(0.0)).otherwise(2 * both / (m + n)))
 
 
 def estimated_tokens(text: Column) -> Column:
