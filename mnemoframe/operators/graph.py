@@ -11,12 +11,68 @@ from mnemoframe.sources.shared import cut
 TYPE_WEIGHTS = {"caused_by": 1.5, "depends_on": 1.3, "contradicts": 0.5, "uses": 1.0, "works_at": 1.0, "knows": 0.8, "part_of": 0.9, "related_to": 0.7, "follows": 0.6, "prefers_over": 1.1, "triggers": 1.2, "learned_from": 1.3}
 
 
-def edge_weight(default: float = 0.8) -> Column:
-    """Weight times the type's weight times the pull of recent edges, of (type, weight, age_days)."""
+# Relations that lead to a cause, and to an effect; confidence of a relation that states none.
+CAUSES, EFFECTS, CONFIDENCE = ("caused_by", "depends_on", "learned_from"), ("triggers", "leads_to"), 0.7
+
+
+def type_weight(default: float) -> Column:
     by_type = F.lit(default)
     for k, v in TYPE_WEIGHTS.items():
         by_type = F.when(F.col("type") == k, v).otherwise(by_type)
-    return F.coalesce("weight", F.lit(1.0)) * by_type * F.greatest(F.lit(0.3), F.exp(-F.col("age_days") / 90))
+    return by_type
+
+
+def edge_weight(default: float = 0.8) -> Column:
+    """Weight times the type's weight times the pull of recent edges, of (type, weight, age_days)."""
+    return F.coalesce("weight", F.lit(1.0)) * type_weight(default) * F.greatest(F.lit(0.3), F.exp(-F.col("age_days") / 90))
+
+
+def active_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Valid edges of which both ends are valid entities. edges: (source, target, invalid and others); entities: (name, invalid)."""
+    live = entities.where(~F.coalesce("invalid", F.lit(False))).select("name").distinct()
+    out = edges.where(~F.coalesce("invalid", F.lit(False)))
+    return out.join(live.withColumnRenamed("name", "source"), "source", "left_semi").join(live.withColumnRenamed("name", "target"), "target", "left_semi")
+
+
+def rank_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(source, target, weight) for ``personalized_pagerank``: weight, confidence, type and recency of active edges."""
+    return active_edges(edges, entities).select("source", "target", (edge_weight() * F.coalesce("confidence", F.lit(CONFIDENCE))).alias("weight"))
+
+
+def breadth_first(step: DataFrame, start: DataFrame, hops: int, most: int | None = None) -> DataFrame:
+    """(node, hop, path, value) in the order of a breadth-first walk: by hop, then path. step: (here, there, ord, value), ord unique.
+
+    A node is reached over the first edge in the order of the walk: that of its earliest neighbour, of its edges the least ``ord``. The
+    edges' ords from the start are its path, and paths of one hop compare as their nodes are reached. With ``most`` the walk ends after so
+    many nodes, and frontiers are bounded by it.
+    """
+    seen = cut(start.select("node").distinct().select("node", F.lit(0).alias("hop"), F.array().cast("array<long>").alias("path"), F.lit(None).cast("double").alias("value")))
+    front, left = seen, most
+    for hop in range(1, hops + 1):
+        edge = F.struct(F.concat("path", F.array(F.col("ord").cast("long"))).alias("path"), step["value"].cast("double").alias("value"))
+        near = front.select("node", "path").join(step, F.col("node") == F.col("here")).groupBy(F.col("there").alias("node")).agg(F.min(edge).alias("e")).select("node", F.lit(hop).alias("hop"), "e.path", "e.value")
+        fresh = near.join(seen.select("node"), "node", "left_anti")
+        front = cut(fresh if left is None else fresh.orderBy("path").limit(left))
+        seen = seen.unionByName(front)
+        if left is not None:
+            left -= front.count()
+            if left <= 0:
+                break
+    return seen.where("hop > 0")
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(here, there, ord) over valid edges in either direction; an edge from a node to itself once."""
+    live = edges.where(~F.coalesce("invalid", F.lit(False)))
+    one = live.select(F.col("source").alias("here"), F.col("target").alias("there"), "ord")
+    return one.unionAll(live.where("source <> target").select("target", "source", "ord"))
+
+
+def walk_memories(edges: DataFrame, start: DataFrame, index: DataFrame, memories: DataFrame, hops: int = 2, most: int = 10) -> DataFrame:
+    """(memory_id): the first ``most`` live memories that mention one of the first ``most`` entities around the start. index: (name, memory_id)."""
+    walked = breadth_first(both_ways(edges).withColumn("value", F.lit(None).cast("double")), start, hops, most)
+    live = memories.where(~F.col("scope").isin("expired", "decayed")).select("memory_id")
+    return index.join(walked.select(F.col("node").alias("name")), "name", "left_semi").select("memory_id").distinct().join(live, "memory_id", "left_semi").orderBy("memory_id").limit(most)
 
 
 def weighted_hops(edges: DataFrame, seeds: DataFrame, hops: int = 2, most: int = 10) -> DataFrame:
@@ -38,10 +94,10 @@ def weighted_hops(edges: DataFrame, seeds: DataFrame, hops: int = 2, most: int =
     return seen.where("hop > 0")
 
 
-def mentioning(index: DataFrame, nodes: DataFrame, score: Column, most: int) -> DataFrame:
+def mentioning(index: DataFrame, nodes: DataFrame, score: Column, most: int, digits: int = 6) -> DataFrame:
     """(memory_id, score): memories of an inverted index (name, memory_id) by the summed score of their entities."""
     hits = index.join(nodes.select(F.col("node").alias("name"), score.alias("s")), "name")
-    return hits.groupBy("memory_id").agg(F.round(F.sum("s"), 6).alias("score")).orderBy(F.desc("score"), "memory_id").limit(most)
+    return hits.groupBy("memory_id").agg(F.round(F.sum("s"), digits).alias("score")).orderBy(F.desc("score"), "memory_id").limit(most)
 
 
 def entity_rank(entities: DataFrame) -> DataFrame:
@@ -50,17 +106,16 @@ def entity_rank(entities: DataFrame) -> DataFrame:
     return entities.where("not invalid").select("name", F.round(F.greatest(F.lit(0.01), mass), 6).alias("rank"))
 
 
-def causal_chain(edges: DataFrame, seeds: DataFrame, types: tuple[str, ...], up: bool, hops: int = 3) -> DataFrame:
-    """(node, hop, strength): nodes up (to causes) or down valid edges of some types; strength is the best edge's weight over the hop."""
-    live = edges.where("not invalid").where(F.col("type").isin(*types))
-    step = live.select(F.col("target" if up else "source").alias("here"), F.col("source" if up else "target").alias("there"), "weight")
-    seen = seeds.select("node").distinct().select("node", F.lit(0).alias("hop"), F.lit(0.0).alias("strength"))
-    front = seen
-    for hop in range(1, hops + 1):
-        reached = front.join(step, F.col("node") == F.col("here")).groupBy("there").agg((F.max("weight") / hop).alias("strength")).select(F.col("there").alias("node"), F.lit(hop).alias("hop"), "strength")
-        front = cut(reached.join(seen.select("node"), "node", "left_anti"))
-        seen = seen.unionByName(front)
-    return seen.where("hop > 0")
+def causal_chain(edges: DataFrame, start: DataFrame, up: bool, hops: int = 3) -> DataFrame:
+    """(node, hop, type, strength): what causes the start (up: over edges into it) or what it leads to; a node by the first edge that reaches it.
+
+    strength: the edge's confidence times its weight over the hop. edges: (source, target, type, weight, confidence, invalid, ord).
+    """
+    live = edges.where(~F.coalesce("invalid", F.lit(False)) & F.col("type").isin(*(CAUSES if up else EFFECTS)))
+    step = live.select(F.col("target" if up else "source").alias("here"), F.col("source" if up else "target").alias("there"), "ord", (F.coalesce("confidence", F.lit(CONFIDENCE)) * F.coalesce("weight", F.lit(1.0))).alias("value"))
+    walked = breadth_first(step, start, hops)
+    types = live.select(F.col("ord").alias("_ord"), "type")
+    return walked.join(types, F.element_at("path", -1) == F.col("_ord")).select("node", "hop", "type", (F.col("value") / F.col("hop")).alias("strength"))
 
 
 def missing_causes(mentions: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
@@ -98,9 +153,11 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 20, store_every: int = 5) -> DataFrame:
-    """(node, rank): teleport to the seeds, out-weights normalised, mass of nodes without edges lost."""
-    share = edges.join(edges.groupBy("source").agg(F.sum("weight").alias("total")), "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share"))
-    base = seeds.select("node").distinct().withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1)))).select("node", (F.lit(1.0) / F.col("n")).alias("rank"))
+    """(node, rank): teleport to the seeds, out-weights normalised, mass of nodes without edges lost. seeds: (node), few."""
+    share = cut(edges.where("weight > 0").groupBy("source", "target").agg(F.sum("weight").alias("weight")).join(edges.where("weight > 0").groupBy("source").agg(F.sum("weight").alias("total")), "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")))
+    start = seeds.select("node").distinct()
+    n = start.count()
+    base = start.select("node", F.lit(1.0 / max(1, n)).alias("rank"))
     now = base
     for step in range(rounds):
         if step and step % store_every == 0:
@@ -110,15 +167,13 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.1
     return now
 
 
-def _undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("source", "target", "weight").unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
-
-
 def spreading(edges: DataFrame, seeds: DataFrame, rounds: int = 3, decay: float = 0.5, least: float = 0.01) -> DataFrame:
-    """(node, activation): seeds hold 1; every round each node of at least ``least`` passes decay * weight of all it holds; activations add up."""
-    both = _undirected(edges)
+    """(node, activation): seeds hold 1; every round each node of at least ``least`` passes on decay * weight * type weight of all it holds
+    over valid edges in either direction; activations add up. edges: (source, target, type, weight, invalid)."""
+    live = edges.where(~F.coalesce("invalid", F.lit(False))).select("source", "target", (F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight")) * type_weight(0.7)).alias("w"))
+    ends = live.unionAll(live.where("source <> target").select("target", "source", "w")).groupBy("source", "target").agg(F.sum("w").alias("w"))
     total = seeds.select("node").distinct().withColumn("activation", F.lit(1.0))
     for _ in range(rounds):
-        spread = total.where(F.col("activation") >= least).join(both, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (decay * F.col("activation") * F.col("weight")).alias("activation"))
+        spread = total.where(F.col("activation") >= least).join(ends, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (decay * F.col("activation") * F.col("w")).alias("activation"))
         total = total.unionByName(spread).groupBy("node").agg(F.sum("activation").alias("activation"))
     return total

@@ -152,13 +152,7 @@ def _(spark, d):
     return stats.neighbours(stats.ppmi(_turns(spark, d), "key", "text").withColumn("pmi", F.round("pmi", 6)))
 
 
-@query("a11_succession", f"""WITH t AS (SELECT conv_id, turn, {LATIN.format('text')} AS l FROM conversations), u AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i)[1:10] AS w FROM t),
- s AS (SELECT w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM u) , e AS (SELECT unnest(b) AS word, w FROM s WHERE b IS NOT NULL), g AS (SELECT word, unnest(w) AS next_word FROM e) SELECT word, next_word, count(*) AS n FROM g GROUP BY ALL""")
-def _(spark, d):
-    return stats.succession(read(spark, d, "conversations"), "conv_id", "turn", "text", most_next=10)
-
-
-@query("a11_succession_whole", f"""WITH t AS (SELECT conv_id, turn, {LATIN.format('text')} AS l FROM conversations), u AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS w FROM t),
+@query("a11_succession", f"""WITH t AS (SELECT conv_id, turn, {LATIN.format('text')} AS l FROM conversations), u AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS w FROM t),
  s AS (SELECT w, lag(w[1:10]) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM u) , e AS (SELECT unnest(b) AS word, w FROM s WHERE b IS NOT NULL), g AS (SELECT word, unnest(w) AS next_word FROM e) SELECT word, next_word, count(*) AS n FROM g GROUP BY ALL""")
 def _(spark, d):
     return stats.succession(read(spark, d, "conversations"), "conv_id", "turn", "text")
@@ -264,24 +258,6 @@ def _(spark, d):
     return graph.k_hop(_edges(spark, d), _seeds(spark), 2)
 
 
-PPR_STEP = "SELECT node, sum(rank) AS rank FROM (SELECT target AS node, 0.85e0 * rank * share AS rank FROM {0} JOIN s ON node = source UNION ALL SELECT node, 0.15e0 * rank FROM p0) GROUP BY node"
-
-
-@query("g4_pagerank", f"""WITH {EDGES}, s AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM edges), p0 AS (SELECT 'c1' AS node, 0.5e0 AS rank UNION ALL SELECT 'c2', 0.5e0),
- p1 AS ({PPR_STEP.format('p0')}), p2 AS ({PPR_STEP.format('p1')}), p3 AS ({PPR_STEP.format('p2')}), p4 AS ({PPR_STEP.format('p3')}) SELECT node, round(rank, 6) AS rank FROM p4""")
-def _(spark, d):
-    return graph.personalized_pagerank(_edges(spark, d), _seeds(spark)).select("node", F.round("rank", 6).alias("rank"))
-
-
-SPREAD_STEP = "SELECT node, sum(a) AS a FROM (SELECT node, a FROM {0} UNION ALL SELECT target, 0.5e0 * a * weight FROM {0} JOIN b ON node = source WHERE a >= 0.01e0) GROUP BY node"
-
-
-@query("g6_spreading", f"""WITH {EDGES}, b AS (SELECT * FROM edges UNION ALL SELECT target, source, weight FROM edges), a0 AS (SELECT 'c1' AS node, 1e0 AS a UNION ALL SELECT 'c2', 1e0),
- a1 AS ({SPREAD_STEP.format('a0')}), a2 AS ({SPREAD_STEP.format('a1')}), a3 AS ({SPREAD_STEP.format('a2')}) SELECT node, round(a, 6) AS activation FROM a3""")
-def _(spark, d):
-    return graph.spreading(_edges(spark, d), _seeds(spark)).select("node", F.round("activation", 6).alias("activation"))
-
-
 # behaviour
 
 

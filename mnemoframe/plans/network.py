@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemoframe.operators import field, graph, stats
-from mnemoframe.plans.catalog import CLEAN, EDGES, GRAMS, MEM, PPR_STEP, _edges, _seeds, query
+from mnemoframe.plans.catalog import CLEAN, EDGES, GRAMS, MEM, _edges, _seeds, query
 from mnemoframe.plans.insight import _PAIRS
 from mnemoframe.plans.store import NODES, TYPED, nodes, typed_edges
 from mnemoframe.sources.tables import memories, read
@@ -29,21 +29,78 @@ def _(spark, d):
     return graph.weighted_hops(typed_edges(spark, d), _seeds(spark)).select("node", "hop", F.round("weight", 6).alias("weight"))
 
 
-@query("g3_walk_memories", f"WITH {HOPS}, {INDEX} SELECT memory_id, round(count(*), 6) AS score FROM ix JOIN walked ON name = node GROUP BY memory_id QUALIFY row_number() OVER (ORDER BY score DESC, memory_id) <= 10")
+# a graph with cycles, parallel edges of other types and edges of a node to itself: from each event's user to the next event's
+_KINDS = [*graph.TYPE_WEIGHTS, "leads_to", "other"]
+CYCLES = f"""cyc AS MATERIALIZED (SELECT source, target, type, min(event_id) AS ord, 0.5e0 + min(event_id) % 3 AS weight, CASE WHEN min(event_id) % 5 > 0 THEN 0.5e0 + (min(event_id) % 4) / 10.0e0 END AS confidence, CAST(min(event_id) % 120 AS DOUBLE) AS age_days, min(event_id) % 9 = 0 AS invalid
+  FROM (SELECT a.event_id, 'u' || a.user_id AS source, 'u' || b.user_id AS target, {_KINDS}[1 + a.event_id % {len(_KINDS)}] AS type FROM events a JOIN events b ON b.event_id = a.event_id + 1) GROUP BY source, target, type),
+ users AS (SELECT DISTINCT 'u' || user_id AS name, user_id % 17 = 0 AS invalid FROM events)"""
+
+
+def cycles(spark, d):
+    kinds = ", ".join(f"'{k}'" for k in _KINDS)
+    all_of = read(spark, d, "events")
+    following = all_of.selectExpr("event_id - 1 as event_id", "concat('u', user_id) as target")
+    e = all_of.join(following, "event_id").selectExpr("event_id", "concat('u', user_id) as source", "target", f"get(array({kinds}), cast(pmod(event_id, {len(_KINDS)}) as int)) as type")
+    one = e.groupBy("source", "target", "type").agg(F.min("event_id").alias("ord"))
+    return one.selectExpr("*", "0.5D + ord % 3 as weight", "if(ord % 5 > 0, 0.5D + (ord % 4) / 10.0D, null) as confidence", "cast(ord % 120 as double) as age_days", "ord % 9 = 0 as invalid")
+
+
+def users(spark, d):
+    return read(spark, d, "events").selectExpr("concat('u', user_id) as name", "user_id % 17 = 0 as invalid").distinct()
+
+
+def starts(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "node string")
+
+
+# breadth first: a hop's nodes by the least path of edge numbers
+_WALK = "w{0} AS MATERIALIZED (SELECT there AS node, min(list_append(path, ord)) AS path FROM f{1} JOIN st ON st.here = f{1}.node WHERE there NOT IN (SELECT node FROM seen{1}) GROUP BY there)"
+
+
+def _bfs(start: str, hops: int, most: int | None) -> str:
+    parts = [f"f0 AS (SELECT '{start}' AS node, []::BIGINT[] AS path, 0 AS hop), seen0 AS (SELECT node FROM f0)"]
+    for k in range(1, hops + 1):
+        cap = f" QUALIFY row_number() OVER (ORDER BY path) <= {most} - (SELECT count(*) - 1 FROM seen{k - 1})" if most else ""
+        parts += [_WALK.format(k, k - 1), f"f{k} AS MATERIALIZED (SELECT node, path, {k} AS hop FROM w{k}{cap})", f"seen{k} AS MATERIALIZED (SELECT node FROM seen{k - 1} UNION ALL SELECT node FROM f{k})"]
+    return ", ".join(parts)
+
+
+@query("g3_walk_memories", f"""WITH {CYCLES}, {INDEX.replace("'n' || doc_id % 25", "'u' || doc_id % 150")}, {MEM}, st AS MATERIALIZED (SELECT source AS here, target AS there, ord FROM cyc WHERE NOT invalid UNION ALL SELECT target, source, ord FROM cyc WHERE NOT invalid AND source <> target), {_bfs('u3', 2, 10)}
+ SELECT DISTINCT memory_id FROM ix JOIN mem USING (memory_id) WHERE name IN (SELECT node FROM seen2 WHERE node <> 'u3') AND scope NOT IN ('expired', 'decayed') QUALIFY dense_rank() OVER (ORDER BY memory_id) <= 10""")
 def _(spark, d):
-    return graph.mentioning(index(spark, d), graph.weighted_hops(typed_edges(spark, d), _seeds(spark)), F.lit(1.0), 10)
+    named = read(spark, d, "documents").selectExpr("doc_id as memory_id", "concat('u', doc_id % 150) as name")
+    return graph.walk_memories(cycles(spark, d), starts(spark, "u3"), named, memories(spark, d))
 
 
-@query("g5_scored_walk", f"""WITH {EDGES}, {INDEX}, s AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM edges), p0 AS (SELECT 'c1' AS node, 0.5e0 AS rank UNION ALL SELECT 'c2', 0.5e0),
- p1 AS ({PPR_STEP.format('p0')}), p2 AS ({PPR_STEP.format('p1')}), p3 AS ({PPR_STEP.format('p2')}), p4 AS ({PPR_STEP.format('p3')}),
- b AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), near AS (SELECT target AS node FROM b WHERE source = 'c1' UNION SELECT y.target FROM b x JOIN b y ON x.target = y.source WHERE x.source = 'c1'),
- e AS (SELECT node, rank + CASE WHEN node IN (SELECT node FROM near) THEN 0.3e0 ELSE 0 END AS rank FROM p4 WHERE node NOT IN ('c1', 'c2'))
- SELECT memory_id, round(sum(rank), 6) AS score FROM ix JOIN e ON name = node GROUP BY memory_id QUALIFY row_number() OVER (ORDER BY score DESC, memory_id) <= 8""")
+_RANKED = f"""live AS (SELECT * FROM cyc WHERE NOT invalid AND source IN (SELECT name FROM users WHERE NOT invalid) AND target IN (SELECT name FROM users WHERE NOT invalid)),
+ rw AS (SELECT source, target, weight * {_TYPE_WEIGHT} * greatest(0.3, exp(-age_days / 90)) * coalesce(confidence, 0.7) AS w FROM live), s AS MATERIALIZED (SELECT source, target, sum(w) / any_value(total) AS share FROM rw JOIN (SELECT source, sum(w) AS total FROM rw GROUP BY source) USING (source) GROUP BY source, target), p0 AS (SELECT 'u3' AS node, 0.5e0 AS rank UNION ALL SELECT 'u4', 0.5e0)"""
+_STEP = "SELECT node, sum(rank) AS rank FROM (SELECT target AS node, 0.85e0 * rank * share AS rank FROM {0} JOIN s ON node = source UNION ALL SELECT node, 0.15e0 * rank FROM p0) GROUP BY node"
+_ROUNDS = lambda n: ", ".join(f"p{k} AS MATERIALIZED ({_STEP.format(f'p{k - 1}')})" for k in range(1, n + 1))
+
+
+@query("g4_pagerank", f"WITH {CYCLES}, {_RANKED}, {_ROUNDS(20)} SELECT node, round(rank, 6) AS rank FROM p20")
+def _(spark, d):
+    return graph.personalized_pagerank(graph.rank_edges(cycles(spark, d), users(spark, d)), starts(spark, "u3", "u4")).select("node", F.round("rank", 6).alias("rank"))
+
+
+@query("g5_scored_walk", f"""WITH {CYCLES}, {_RANKED}, {_ROUNDS(10)}, {INDEX.replace("'n' || doc_id % 25", "'u' || doc_id % 150")}, {MEM}, b AS (SELECT source, target FROM cyc WHERE NOT invalid UNION SELECT target, source FROM cyc WHERE NOT invalid),
+ near AS (SELECT target AS node FROM b WHERE source = 'u3' UNION SELECT y.target FROM b x JOIN b y ON x.target = y.source WHERE x.source = 'u3'), e AS (SELECT node, rank + CASE WHEN node IN (SELECT node FROM near) THEN 0.3e0 ELSE 0 END AS rank FROM p10 WHERE node NOT IN ('u3', 'u4'))
+ SELECT memory_id, round(sum(rank), 5) AS score FROM ix JOIN mem USING (memory_id) JOIN e ON name = node WHERE scope NOT IN ('expired', 'decayed') GROUP BY memory_id QUALIFY row_number() OVER (ORDER BY round(sum(rank), 5) DESC, memory_id) <= 8""")
 def _(spark, d):
-    edges, seeds = _edges(spark, d), _seeds(spark)
-    near = graph.k_hop(edges, seeds.where("node = 'c1'"), 2).where("hop > 0").select("node", F.lit(0.3).alias("bonus"))
-    ranked = graph.personalized_pagerank(edges, seeds, rounds=10).where("node not in ('c1', 'c2')").join(near, "node", "left")
-    return graph.mentioning(index(spark, d), ranked, F.col("rank") + F.coalesce("bonus", F.lit(0.0)), 8)
+    e, seeds = cycles(spark, d), starts(spark, "u3", "u4")
+    near = graph.k_hop(e.where("not invalid"), seeds.where("node = 'u3'"), 2).where("hop > 0").select("node", F.lit(0.3).alias("bonus"))
+    ranked = graph.personalized_pagerank(graph.rank_edges(e, users(spark, d)), seeds, rounds=10).where("node not in ('u3', 'u4')").join(near, "node", "left")
+    live = memories(spark, d).where("scope not in ('expired', 'decayed')").select("memory_id", F.expr("concat('u', memory_id % 150)").alias("name"))
+    return graph.mentioning(live, ranked, F.col("rank") + F.coalesce("bonus", F.lit(0.0)), 8, 5)
+
+
+_SPREAD = "SELECT node, sum(a) AS a FROM (SELECT node, a FROM {0} UNION ALL SELECT target, 0.5e0 * a * w FROM {0} JOIN ends ON node = source WHERE a >= 0.01e0) GROUP BY node"
+
+
+@query("g6_spreading", f"""WITH {CYCLES}, lw AS (SELECT source, target, weight * {_TYPE_WEIGHT.replace('0.8e0 END', '0.7e0 END')} AS w FROM cyc WHERE NOT invalid), ends AS MATERIALIZED (SELECT source, target, w FROM lw UNION ALL SELECT target, source, w FROM lw WHERE source <> target),
+ a0 AS (SELECT 'u3' AS node, 1e0 AS a UNION ALL SELECT 'u4', 1e0), a1 AS ({_SPREAD.format('a0')}), a2 AS ({_SPREAD.format('a1')}), a3 AS ({_SPREAD.format('a2')}) SELECT node, round(a, 6) AS activation FROM a3""")
+def _(spark, d):
+    return graph.spreading(cycles(spark, d), starts(spark, "u3", "u4")).select("node", F.round("activation", 6).alias("activation"))
 
 
 @query("g7_entity_rank", f"WITH {NODES} SELECT name, round(greatest(0.01, mentions * exp(-idle_days / 30) * (1 + 0.5e0 * CASE WHEN name LIKE 'n%' THEN 1 ELSE 0 END)), 6) AS rank FROM nodes WHERE NOT invalid")
@@ -51,18 +108,17 @@ def _(spark, d):
     return graph.entity_rank(nodes(spark, d).withColumn("activation", F.when(F.col("name").startswith("n"), 1.0)))
 
 
-@query("g8_causal_chain", f"""WITH {TYPED}, e AS (SELECT * FROM tedges WHERE NOT invalid AND type IN ('caused_by', 'part_of', 'triggers')), d1 AS (SELECT target AS node, max(weight) AS s FROM e WHERE source = 'c4' GROUP BY 1),
- d2 AS (SELECT target AS node, max(weight) / 2 AS s FROM e WHERE source IN (SELECT node FROM d1) AND target NOT IN (SELECT node FROM d1) GROUP BY 1), u1 AS (SELECT source AS node, max(weight) AS s FROM e WHERE target = 'r1' GROUP BY 1), u2 AS (SELECT source AS node, max(weight) / 2 AS s FROM e WHERE target IN (SELECT node FROM u1) GROUP BY 1)
- SELECT 'down' AS way, node, 1 AS hop, s AS strength FROM d1 UNION ALL SELECT 'down', node, 2, s FROM d2 UNION ALL SELECT 'up', node, 1, s FROM u1 UNION ALL SELECT 'up', node, 2, s FROM u2""")
-def _(spark, d):
-    e, types = typed_edges(spark, d), ("caused_by", "part_of", "triggers")
-    down = graph.causal_chain(e, spark.createDataFrame([("c4",)], "node string"), types, up=False)
-    return down.select(F.lit("down").alias("way"), "*").unionAll(graph.causal_chain(e, spark.createDataFrame([("r1",)], "node string"), types, up=True).select(F.lit("up"), "*"))
+def _chain(start: str, up: bool) -> str:
+    here, there, types = ("target", "source", graph.CAUSES) if up else ("source", "target", graph.EFFECTS)
+    rows = " UNION ALL ".join(f"SELECT node, hop, path FROM f{k}" for k in (1, 2, 3))
+    return f"""SELECT '{'up' if up else 'down'}' AS way, node, hop, type, round(coalesce(confidence, 0.7) * weight / hop, 6) AS strength FROM (WITH st AS MATERIALIZED (SELECT {here} AS here, {there} AS there, ord FROM cyc WHERE NOT invalid AND type IN {types}), {_bfs(start, 3, None)} {rows}) JOIN cyc ON ord = path[-1]"""
 
 
-@query("j2_entity_index", f"WITH {INDEX} SELECT name, count(DISTINCT memory_id) AS n, min(memory_id) AS first FROM ix WHERE name LIKE 'n%' GROUP BY name")
+@query("g8_causal_chain", f"WITH {CYCLES} {_chain('u3', True)} UNION ALL {_chain('u4', False)}")
 def _(spark, d):
-    return index(spark, d).where("name like 'n%'").groupBy("name").agg(F.count_distinct("memory_id").alias("n"), F.min("memory_id").alias("first"))
+    e = cycles(spark, d)
+    up, down = graph.causal_chain(e, starts(spark, "u3"), up=True), graph.causal_chain(e, starts(spark, "u4"), up=False)
+    return up.select(F.lit("up").alias("way"), "*").unionByName(down.select(F.lit("down").alias("way"), "*")).withColumn("strength", F.round("strength", 6))
 
 
 @query("j18_missing_causes", f"WITH {EDGES}, m AS MATERIALIZED (SELECT 'c' || doc_id % 150 AS source, 'n' || doc_id % 25 AS target, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, target FROM m WHERE (source, target) NOT IN (SELECT (source, target) FROM edges) QUALIFY row_number() OVER (ORDER BY n DESC, source, target) <= 10")

@@ -54,17 +54,43 @@ def test_succession_keeps_every_word_of_the_next_turn(spark):
 
 
 def test_spreading_passes_on_all_that_was_gathered(spark):
-    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "e", 0.01), ("e", "f", 1.0)], "source string, target string, weight double")
+    rows = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "e", 0.01), ("e", "f", 1.0), ("d", "a", 0.5), ("b", "b", 0.3)]
+    edges = spark.createDataFrame([(*r, "uses", False) for r in rows] + [("a", "z", 9.0, "uses", True)], "source string, target string, weight double, type string, invalid boolean")
     held = {"a": 1.0}
     for _ in range(3):
         now = dict(held)
-        for s, t, w in map(tuple, edges.collect()):
-            for x, y in ((s, t), (t, s)):
+        for s, t, w in rows:
+            for x, y in {(s, t), (t, s)}:
                 if held.get(x, 0) >= 0.01:
                     now[y] = now.get(y, 0) + 0.5 * held[x] * w
         held = now
     got = {r.node: r.activation for r in graph.spreading(edges, spark.createDataFrame([("a",)], "node string")).collect()}
-    assert set(got) == set(held) and all(abs(got[k] - held[k]) < 1e-12 for k in held) and got["d"] == 0.125
+    assert set(got) == set(held) and all(abs(got[k] - held[k]) < 1e-12 for k in held)
+
+
+def test_walks_on_a_cyclic_graph(spark):
+    """Breadth first by the order of edges, causes over the first edge that reaches a node, ranks without invalid ends."""
+    rows = [(1, "a", "b", "caused_by", 2.0, 0.5, False), (2, "c", "a", "caused_by", None, None, False), (3, "d", "a", "learned_from", 9.0, 1.0, False), (4, "d", "c", "caused_by", 1.0, 1.0, False), (5, "a", "c", "depends_on", 1.0, 1.0, False), (6, "e", "d", "caused_by", 1.0, 0.9, False), (7, "x", "a", "caused_by", 5.0, 1.0, True), (8, "a", "a", "caused_by", 1.0, 1.0, False), (9, "f", "a", "uses", 1.0, 1.0, False)]
+    edges = spark.createDataFrame(rows, "ord long, source string, target string, type string, weight double, confidence double, invalid boolean").withColumn("age_days", F.lit(0.0))
+    start = spark.createDataFrame([("a",)], "node string")
+    got = {r.node: (r.hop, r.type, round(r.strength, 9)) for r in graph.causal_chain(edges, start, up=True).collect()}
+    assert got == {"c": (1, "caused_by", 0.7), "d": (1, "learned_from", 9.0), "e": (2, "caused_by", 0.45)}
+    walked = [r.node for r in graph.breadth_first(graph.both_ways(edges).withColumn("value", F.lit(0.0)), start, 2, 4).orderBy("hop", "path").collect()]
+    assert walked == ["b", "c", "d", "f"]
+    names = spark.createDataFrame([(x, x == "b") for x in "abcdef"], "name string, invalid boolean")
+    ranks = {r.node: r.rank for r in graph.personalized_pagerank(graph.rank_edges(edges, names), start).collect()}
+    out = {}
+    for _, s, t, kind, w, c, gone in rows:
+        if not gone and {s, t} <= set("acdef"):
+            out.setdefault(s, []).append((t, (1.0 if w is None else w) * (0.7 if c is None else c) * graph.TYPE_WEIGHTS[kind]))
+    held = {"a": 1.0}
+    for _ in range(20):
+        now = {"a": 0.15}
+        for n, r in held.items():
+            for t, w in out.get(n, []):
+                now[t] = now.get(t, 0) + 0.85 * r * w / sum(x for _, x in out[n])
+        held = now
+    assert set(ranks) == set(held) and all(abs(ranks[k] - held[k]) < 1e-12 for k in held)
 
 
 def test_cjk_terms_count(spark):
