@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from mnemoframe.plans import catalog, clusters, dialogue, expansion, insight, mentions, network, selection, signals, state, store, wording, writes  # noqa: F401
+from mnemoframe.plans import bandit, catalog, clusters, dialogue, expansion, insight, mentions, network, selection, signals, state, store, wording, writes  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
