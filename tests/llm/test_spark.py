@@ -196,6 +196,16 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.kept == bool(truth[r.doc_id].quality) for r in got]) > 0.95
 
 
+@pytest.mark.parametrize("sf, least", [("0.01", 0.7), ("0.1", 0.9)])
+def test_toxic_documents_are_found(spark, sf, least):
+    """Recall and precision on held-out rows, as marking nothing would be right for most; few rows to learn from find fewer."""
+    d = f"/root/testdata/sf{sf}"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = [r for r in queries.op10(spark, d).collect() if r.held_out and r.doc_id in truth]
+    toxic, marked, found = (sum(bool(f(r)) for r in got) for f in (lambda r: truth[r.doc_id] == 1, lambda r: r.predicted, lambda r: r.predicted and truth[r.doc_id] == 1))
+    assert toxic >= 15 and found >= least * toxic and found >= 0.95 * marked
+
+
 def test_pipeline_stages(docs, spark, tmp_path, bench):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     now = docs
