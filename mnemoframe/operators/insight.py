@@ -85,6 +85,11 @@ def insight_rules(memories: DataFrame, days: float = 7) -> DataFrame:
     return top.unionAll(totals.select(F.explode(F.expr("map('painful', painful, 'correction', correction)"))).toDF("rule", "n").where("n >= 3"))
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do it, by its multiple: F.round goes by its decimal digits and parts from them at halves, as of 1.005."""
+    return F.round(x * 10**digits) / 10**digits
+
+
 def growth(rows: DataFrame, now: Column) -> DataFrame:
     """This week against the last per user: correction rate and mean value with their trends. rows: (user_id, ts, corrected, value)."""
     this, last = (F.col("ts") > now - F.expr("interval 7 days")), (F.col("ts") > now - F.expr("interval 14 days")) & (F.col("ts") <= now - F.expr("interval 7 days"))
@@ -92,7 +97,7 @@ def growth(rows: DataFrame, now: Column) -> DataFrame:
     got = rows.groupBy("user_id").agg(rate(this).alias("rate"), rate(last).alias("before"), F.avg(F.when(this, F.col("value"))).alias("mean"), F.avg(F.when(last, F.col("value"))).alias("mean_before"))
     trend = F.when(F.col("rate") < F.col("before") - 0.02, "up").when(F.col("rate") > F.col("before") + 0.02, "down").otherwise("stable")
     quality = F.when(F.col("mean") > F.col("mean_before") + 0.03, "up").when(F.col("mean") < F.col("mean_before") - 0.03, "down").otherwise("stable")
-    return got.select("user_id", F.round(100 * F.col("rate"), 1).alias("rate"), trend.alias("trend"), F.round("mean", 2).alias("mean"), F.when(F.col("mean").isNotNull(), quality).alias("quality_trend"))
+    return got.select("user_id", _rounded(100 * F.col("rate"), 1).alias("rate"), trend.alias("trend"), _rounded(F.col("mean"), 2).alias("mean"), F.when(F.col("mean").isNotNull(), quality).alias("quality_trend"))
 
 
 def pair_quality(rows: DataFrame, group: str, item: str, quality: str, least: int = 3) -> DataFrame:
