@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import row_chunks, stored, text_buffer
+from mnemoframe.llm.common import give_back, row_chunks, stored, text_buffer
 
 CAPACITY = 4096
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE_WORDS = 800_000
-CACHE_PARTS = 600_000
-BLOCK_BYTES = 4 << 20
+CACHE_WORDS = 200_000
+CACHE_PARTS = 100_000
+BLOCK_BYTES = 1 << 20
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -177,6 +177,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                         rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
 

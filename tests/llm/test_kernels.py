@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mnemoframe.llm import decontamination as D
-from mnemoframe.llm import langid, linededup, njaccard, packing, repetition, warc
+from mnemoframe.llm import langid, linededup, njaccard, packing, queries, repetition, warc
 from mnemoframe.llm.common import Words, shingles, text_buffer
 from mnemoframe.llm.learners import Boosted, Isotonic, Logistic
 
@@ -123,6 +123,23 @@ def test_tokenizer_memory_gives_the_tokenizers_ids():
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_tokenizer_memory_is_small():
+    """Two workers beside an executor's heap hold such memories, so each has room for some 100 MB."""
+    import tracemalloc
+
+    mine = packing.ChunkTokenizer(queries.tokenizer_path())
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghij"))
+    texts = pa.array([" ".join(map("".join, letters[rng.integers(0, 10, (20_000, 9))])) for _ in range(25)])
+    mine.encode(texts.slice(0, 1))
+    tracemalloc.start()
+    for k in range(len(texts)):
+        mine.encode(texts.slice(k, 1))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(mine.known) > 50_000 and held < 60e6
+
+
 def test_another_tokenizer_encodes_whole_texts(tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
