@@ -312,6 +312,39 @@ def test_region_join_is_exact(monkeypatch, leaf):
         assert [s.root(k) for k in range(60)] == brute_links(sets, 75)
 
 
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_partners_of_linked_sets_are_wanted(percent):
+    """At their first shared shingle, linked sets want each other's size; most places of sets that are unlike in size do not."""
+    rng = np.random.default_rng(percent)
+    table = rng.integers(0, 3, 1 << njaccard.LEVEL_BITS).astype(np.uint8)
+    bit = lambda n: 1 << (int(njaccard.size_class(n, percent)) % 64)
+    linked = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 200))
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[int(rng.integers(0, n // 4 + 1)) : n], pool[n : n + int(rng.integers(0, n // 4 + 1))]]))
+        same = len(np.intersect1d(a, b))
+        if 100 * same < percent * (len(a) + len(b) - same):
+            continue
+        linked += 1
+        firsts = [njaccard.first_shingles(x, table, percent).tolist() for x in (a, b)]
+        shared = next(x for x in firsts[0] if x in set(firsts[1]))
+        for x, first, other in ((a, firsts[0], b), (b, firsts[1], a)):
+            wants = njaccard.partner_masks(len(x), len(first), percent)
+            assert int(wants[first.index(shared)]) & bit(len(other)) & ((1 << 64) - 1)
+    assert linked > 30
+    assert not any(int(x) & bit(400) for x in njaccard.partner_masks(100, 20, percent))
+
+
+def test_accidental_meetings_end_where_they_are(spark):
+    """Sets of unlike sizes with a common shingle do not meet, others do, whatever the slices."""
+    sizes = {1: 100, 2: 400, 3: 390, 4: 100}
+    bit = lambda n: int(np.uint64(1 << (int(njaccard.size_class(n, 75)) % 64)).view(np.int64))
+    rows = [(shingle % 2, shingle, sid, bit(sizes[sid]), int(njaccard.partner_masks(sizes[sid], 1, 75)[0])) for shingle, sids in ((10, (1, 2)), (11, (2, 3)), (12, (1, 2, 3)), (13, (4, 4, 2))) for sid in sids]
+    firsts = spark.createDataFrame(rows, "slice int, shingle long, sid long, own long, wants long")
+    assert sorted(map(tuple, njaccard.meetings(firsts, 2).collect())) == [(1, 2, 1), (1, 3, 1), (2, 2, 1), (2, 3, 1), (2, 4, 2)]
+
+
 def test_short_texts_have_one_shingle():
     data, offsets = text_buffer(pa.array(["a b", "", "a b c d e f", None]))
     rows, _ = shingles(Words(data, offsets, 0, 4), 5)
