@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -27,12 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import give_back, row_chunks, stored, text_buffer
+from mnemoframe.llm.common import LOWER, give_back, row_chunks, stored, text_buffer
 
 CAPACITY = 4096
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE_WORDS = 200_000
-CACHE_PARTS = 100_000
+CACHE_WORDS = 50_000
+CACHE_PARTS = 200_000
+LINE_PARTS = 2_000
 BLOCK_BYTES = 1 << 20
 
 
@@ -63,26 +65,57 @@ class Pool:
         return size, self.ids[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
 
 
-# The normaliser and pre-tokenizer that the chunk memory is right for.
+# The normaliser and pre-tokenizer that the memory of parts is right for.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PRE_TOKENIZERS = [{"type": "Split", "pattern": {"Regex": PARTS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
-SIMPLE = r"^[\x{21}-\x{7e}\x{a1}-\x{ac}\x{ae}-\x{ff}]+$"
+
+SPACE, LETTER, NUMBER, SYMBOL, ODD = range(5)
+
+
+def kinds() -> np.ndarray:
+    """Kind of each character up to U+00FF by the expression above. Control characters, other spaces and the soft hyphen are odd."""
+    out = np.full(256, ODD, np.uint8)
+    for x in range(256):
+        kind = unicodedata.category(chr(x))
+        if x in b" \t\n\v\f\r":
+            out[x] = SPACE
+        elif kind[0] in "LNPS":
+            out[x] = {"L": LETTER, "N": NUMBER}.get(kind[0], SYMBOL)
+    return out
+
+
+KINDS = kinds()
+BYTE_KINDS = np.where(np.arange(256) < 128, KINDS, ODD).astype(np.uint8)
+BYTE_KINDS[0x80:0xC0] = SYMBOL  # replaced by the kind of the whole character
+BYTE_KINDS[[0xC2, 0xC3]] = SYMBOL
+
+
+def kinds_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind of each byte's character, the buffer in lower case, and where the second bytes of characters lie."""
+    kind, lower = BYTE_KINDS[buf], LOWER[buf]
+    lead = np.flatnonzero((buf | 1) == 0xC3)
+    if len(lead):
+        second = buf[lead + 1]
+        char = ((buf[lead] & 3) << 6) | (second & 63)
+        kind[lead] = kind[lead + 1] = KINDS[char]
+        lower[lead + 1] = second + np.where((char >= 0xC0) & (char <= 0xDE) & (char != 0xD7), 32, 0).astype(np.uint8)
+    return kind, lower, lead + 1
 
 
 class ChunkTokenizer:
-    """Ids of whole texts through a memory of the ids of white-space separated chunks.
+    """Ids of whole texts through a memory of the ids of their parts.
 
-    The tokenizer's pre-tokenizer never joins characters over white space, so a text's ids are those of its chunks in turn. New
-    chunks of ASCII and Latin-1 characters are cut together as the pre-tokenizer does, and only unknown parts go through the BPE
-    model; any other chunk goes through the whole tokenizer. Each memory is emptied when it is full. A tokenizer file with another
-    normaliser, pre-tokenizer, post-processor or white space in a special token encodes whole texts instead.
+    Texts of ASCII and Latin-1 characters are cut into lower-case parts as the pre-tokenizer does, a block at a time, and only unknown
+    parts go through the BPE model. As the pre-tokenizer never joins characters over white space, another text's ids are those of its
+    white-space separated chunks in turn: those of such characters are cut likewise, the others go through the whole tokenizer and
+    have a memory of their own. A full memory keeps what the block at hand holds. A tokenizer file with another normaliser,
+    pre-tokenizer, post-processor or white space in a special token encodes whole texts instead.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
@@ -94,67 +127,139 @@ class ChunkTokenizer:
             and all(x.startswith("<|") and not any(map(str.isspace, x)) for x in special)
         )
         self.tokenize = self.tokenizer.model.tokenize
-        self.parts = regex.compile(PARTS + "|\n").findall
-        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        self.by_line = Tokenizer(self.tokenizer.model)  # the model alone
+        self.by_line.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        suffix, vocab = made["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab(False)
+        self.is_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix:
+            self.is_end[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on; a line feed parts the parts
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in shown]
-        self.alphabet = "".join(chr(x) if x in set(shown) else chr(256 + hidden.index(x)) for x in range(256))
+        self.alphabet = "".join(chr(x) if x in {*shown, 10} else chr(256 + hidden.index(x)) for x in range(256))
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.lists = Pool()
-        self.known_parts: dict[str, int] = {}
-        self.part_lists = Pool()
-
-    def _part_numbers(self, parts: list[str]) -> np.ndarray:
-        new = [p for p in parts if p not in self.known_parts]
+        self.known_odd: dict[str, int] = {}
+        self.odd_lists = Pool()
+
+    def _model_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each part, and the ids one after another."""
+        lines = ["\n".join(parts[k : k + LINE_PARTS]) for k in range(0, len(parts), LINE_PARTS)]
+        lines = [x if x.isascii() else x.encode().decode("latin-1").translate(self.alphabet) for x in lines]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.by_line.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = np.flatnonzero(self.is_end[ids])
+        if len(ends) != len(parts):  # a model whose ids do not tell where a part ends
+            return flat([[x.id for x in self.tokenize(p)] for line in lines for p in line.split("\n")])
+        return np.diff(ends, prepend=-1), ids
+
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        """The number in ``lists`` of each of these different parts."""
+        at = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.known) + len(new) > CACHE_PARTS:
+                old = np.flatnonzero(at >= 0)
+                kept = self.lists.get(at[old])
+                self.known, self.lists = dict(zip(map(parts.__getitem__, old.tolist()), range(len(old)))), Pool()
+                self.lists.add(*kept)
+                at[old] = np.arange(len(old))
+            unknown = list(map(parts.__getitem__, new.tolist()))
+            at[new] = np.arange(self.lists.n, self.lists.n + len(new))
+            self.known.update(zip(unknown, at[new].tolist()))
+            self.lists.add(*self._model_ids(unknown))
+        return at
+
+    def _cut(self, kind: np.ndarray, lower: np.ndarray, second: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text without odd characters, and the ids one after another."""
+        size = len(kind)
+        heads = np.zeros(size + 3, bool)  # where texts begin
+        heads[offsets] = True
+        first = np.ones(size + 3, bool)  # where parts begin
+        first[1:size] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        first[second] = False
+        first |= heads
+        first[:size] &= kind != SPACE
+        quote = np.flatnonzero(first[:size] & (lower == 39))
+        if len(quote):
+            after = np.concatenate([lower, np.zeros(2, np.uint8)])
+            a, b = np.where(heads[quote + 1], 0, after[quote + 1]), after[quote + 2]
+            one = np.isin(a, list(b"stmd"))
+            two = ~heads[quote + 2] & (((a == ord("l")) & (b == ord("l"))) | (np.isin(a, list(b"rv")) & (b == ord("e"))))
+            stop = np.concatenate([quote[one] + 2, quote[two] + 3])
+            first[quote[one | two] + 1] = False
+            stop = stop[stop < size]
+            first[stop[kind[stop] != SPACE]] = True
+        start = np.flatnonzero(first[:size])
+        if not len(start):
+            return np.zeros(len(offsets) - 1, np.int64), np.zeros(0, np.uint32)
+        solid = kind != SPACE
+        chars = lower[solid]
+        bounds = np.append(np.flatnonzero(first[:size][solid]), len(chars))
+        parts = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(chars)]).dictionary_encode()
+        numbers = self._numbers(strings(parts.dictionary))[parts.indices.to_numpy()]
+        sizes, ids = self.lists.get(numbers)
+        stops = np.searchsorted(start, offsets)
+        return np.diff(np.append(0, np.cumsum(sizes))[stops]), ids
+
+    def _mixed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any texts, by their chunks."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        data, offsets = text_buffer(words.dictionary)
+        odd = pa.array(self._odd(*self._block(data, offsets)))
+        plain, others = words.dictionary.filter(pc.invert(odd)), strings(words.dictionary.filter(odd))
+        new = [x for x in others if x not in self.known_odd]
+        if len(self.known_odd) + len(new) > CACHE_WORDS:
+            self.known_odd, self.odd_lists, new = {}, Pool(), others
         if new:
-            found = [[x.id for x in self.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet))] if p != "\n" else [] for p in new]
-            self.known_parts.update(zip(new, range(self.part_lists.n, self.part_lists.n + len(new))))
-            self.part_lists.add(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
-        return np.fromiter(map(self.known_parts.__getitem__, parts), np.int64, len(parts))
-
-    def learn(self, chunks: pa.Array) -> None:
-        if len(self.known_parts) > CACHE_PARTS:
-            self.known_parts, self.part_lists = {}, Pool()
-        simple = pc.and_not(pc.match_substring_regex(chunks, SIMPLE), pc.match_substring(chunks, "<|"))
-        plain = strings(chunks.filter(simple))
-        if plain:
-            found = pa.array(self.parts("\n".join(plain).lower()), pa.string()).dictionary_encode()
-            numbers = self._part_numbers(strings(found.dictionary))[found.indices.to_numpy()]
-            sizes, ids = self.part_lists.get(numbers)
-            chunk = np.cumsum(numbers == self.known_parts.get("\n", -1))
-            self._remember(plain, np.bincount(chunk, weights=sizes, minlength=len(plain)).astype(np.int64), ids)
-        others = chunks.filter(pc.invert(simple)).to_pylist()
-        if others:
-            lists = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in others]
-            self._remember(others, np.fromiter(map(len, lists), np.int64, len(lists)), np.fromiter(chain.from_iterable(lists), np.uint32))
-
-    def _remember(self, chunks: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.known.update(zip(chunks, range(self.lists.n, self.lists.n + len(chunks))))
-        self.lists.add(sizes, ids)
+            self.known_odd.update(zip(new, range(self.odd_lists.n, self.odd_lists.n + len(new))))
+            self.odd_lists.add(*flat([self.tokenizer.encode(x, add_special_tokens=False).ids for x in new]))
+        found = Pool()
+        found.add(*self._cut(*self._block(*text_buffer(plain))))
+        found.add(*self.odd_lists.get(np.fromiter(map(self.known_odd.__getitem__, others), np.int64, len(others))))
+        place = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"))
+        sizes, ids = found.get(place[words.indices.to_numpy()])
+        stops = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        return np.diff(np.append(0, np.cumsum(sizes))[stops]), ids
+
+    @staticmethod
+    def _block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return *kinds_of(data[offsets[0] : offsets[-1]]), offsets - offsets[0]
+
+    @staticmethod
+    def _odd(kind: np.ndarray, lower: np.ndarray, second: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts hold an odd character or what may be a special token."""
+        at = np.flatnonzero(kind == ODD)
+        angle = np.flatnonzero(lower[:-1] == ord("<"))
+        at = np.concatenate([at, angle[lower[angle + 1] == ord("|")]])
+        out = np.zeros(len(offsets) - 1, bool)
+        out[np.searchsorted(offsets, at, "right") - 1] = True
+        return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a null is an empty text."""
         texts = pc.fill_null(texts, "")
         if not self.chunked:
             return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-        split = pc.ascii_split_whitespace(texts)
-        words = split.flatten().dictionary_encode()
-        chunks = strings(words.dictionary)
-        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known, self.lists = {}, Pool()
-                new = np.arange(len(chunks))
-            self.learn(words.dictionary.take(pa.array(new)))
-            at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        sizes, ids = self.lists.get(at[words.indices.to_numpy()])
-        stops = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
-        bounds = np.append(0, np.cumsum(sizes))[stops]
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        block = self._block(*text_buffer(texts))
+        odd = self._odd(*block)
+        if not odd.any():
+            return lists_of(*self._cut(*block))
+        plain = iter(lists_of(*self._cut(*self._block(*text_buffer(texts.filter(pa.array(~odd)))))))
+        mixed = iter(lists_of(*self._mixed(texts.filter(pa.array(odd)))))
+        return [next(mixed if x else plain) for x in odd]
+
+
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(map(len, lists), np.int64, len(lists)), np.fromiter(chain.from_iterable(lists), np.uint32)
+
+
+def lists_of(sizes: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    bounds = np.append(0, np.cumsum(sizes)).tolist()
+    return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}

@@ -1,6 +1,7 @@
 """Kernels against brute force, without Spark."""
 
 import collections
+import functools
 import io
 import random
 
@@ -123,6 +124,60 @@ def test_tokenizer_memory_gives_the_tokenizers_ids():
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+ODD_TEXTS = st.lists(st.text(alphabet="aBsTrevLlmd'é½²ªßÀ×÷<|.!1 \n\t\x1c\x85\xa0\xad\u0301\u2014\u017f語", max_size=30), max_size=6)
+
+
+@settings(max_examples=300, deadline=None)
+@given(ODD_TEXTS)
+def test_parts_are_cut_as_by_the_tokenizer(texts):
+    mine = made_tokenizer()
+    assert [g.tolist() for g in mine.encode(pa.array(texts, pa.string()))] == [mine.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@functools.cache
+def made_tokenizer():
+    return packing.ChunkTokenizer(queries.tokenizer_path())
+
+
+def test_full_tokenizer_memory_keeps_the_words_in_use(monkeypatch):
+    """The model is asked once for each new part, whatever its case and punctuation, and again only for those long out of use."""
+    monkeypatch.setattr(packing, "CACHE_PARTS", 1000)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 1000)
+    mine = packing.ChunkTokenizer(queries.tokenizer_path())
+    asked = []
+    tokenize, by_model = mine.tokenize, getattr(mine, "_model_ids", None)
+    mine.tokenize = lambda part: asked.append(part) or tokenize(part)
+    if by_model:
+        mine._model_ids = lambda parts: asked.extend(parts) or by_model(parts)
+    names = ["".join("abcdefghij"[int(d)] for d in str(10_000 + k)) for k in range(3_600)]
+    texts = []
+    for k in range(6):
+        mixed = [x for n in names[:300] for x in (n, n.upper() + ",")] + [f"{n}é" for n in names[600 * k : 600 * (k + 1)]]
+        random.Random(k).shuffle(mixed)
+        texts.append(" ".join(mixed))
+    got = [mine.encode(pa.array([t]))[0].tolist() for t in texts]
+    assert got == [mine.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == 301 + 3_600
+
+
+def test_odd_chunks_beside_plain_ones(monkeypatch):
+    """Through a memory of odd chunks that is full again and again."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    mine = packing.ChunkTokenizer(queries.tokenizer_path())
+    rng = random.Random(3)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["Plain,", "don't", "x²", "語" * rng.randrange(1, 9), f"—{rng.randrange(99)}", "<|endoftext|>"]) for _ in range(rng.randrange(30))) for _ in range(6)] + [None, "é only"]
+        want = [mine.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [g.tolist() for g in mine.encode(pa.array(texts, pa.string()))] == want
+
+
+def test_a_model_without_end_marks():
+    mine = packing.ChunkTokenizer(queries.tokenizer_path())
+    mine.is_end[:] = False
+    texts = ["Don't é, été 12", "", "straße"]
+    assert [g.tolist() for g in mine.encode(pa.array(texts))] == [mine.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_tokenizer_memory_is_small():
     """Two workers beside an executor's heap hold such memories, so each has room for some 100 MB."""
     import tracemalloc
