@@ -17,7 +17,7 @@ def test_the_last_plan_of_an_expansion_is_small(spark):
     assert {(r.word, round(r.weight, 6)) for r in got.collect()} == {("red", 1.0), ("blue", 1.0), ("green", 0.6), ("azure", 0.9), ("rose", 0.85), ("navy", 0.5)}
 
 
-@pytest.mark.parametrize("name", ["r14_field_terms"])
+@pytest.mark.parametrize("name", ["r14_field_terms", "r15_expansion"])
 def test_clusters_of_all_words(spark, tmp_path, name):
     """Words of any letter are in clusters: amber and coral meet over beryl only, as ruby and topaz over slate."""
     texts = ["amber beryl", "beryl coral", "ruby slate", "slate topaz"] * 2 + [f"w{chr(97 + k)}x z{chr(97 + k)}y" for k in range(24)] * 2
